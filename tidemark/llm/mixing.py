@@ -28,7 +28,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 7, rows_each: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 7, rows_each: int = 2_000) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken.
 
     Within its source a row has a place given by a hash of its id and the seed. Each source's budget is its
