@@ -30,14 +30,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame, domain_weight: float = 0.5) -> DataFrame:
-    """(src, dst, w): w pages of src link to the other host dst; and a host and the domain above it, down to two labels, are linked
-    both ways with domain_weight, as they are in one hand."""
+    """(src, dst, w): w pages of src link to the other host dst; and a host and the domain above it, down to three labels (two
+    may be a suffix that strangers share), are linked both ways with domain_weight, as they are in one hand."""
     links = pages.select("host", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER_LETTERS, LOWER_LETTERS)))).alias("dst"))
     links = links.where("host <> '' AND dst <> host").groupBy(F.col("host").alias("src"), "dst").agg(F.count("*").cast("double").alias("w"))
     hosts = pages.select("host").union(links.select("dst")).where("host <> ''").distinct()
     labels = F.split("host", r"\.")
-    above = hosts.select(labels.alias("l")).where(F.size("l") > 2)
-    steps = above.select("l", F.explode(F.sequence(F.lit(1), F.least(F.size("l") - 2, F.lit(8)))).alias("i"))
+    above = hosts.select(labels.alias("l")).where(F.size("l") > 3)
+    steps = above.select("l", F.explode(F.sequence(F.lit(1), F.least(F.size("l") - 3, F.lit(8)))).alias("i"))
     name = lambda i: F.array_join(F.slice("l", i, F.size("l")), ".")
     pairs = steps.select(name(F.col("i")).alias("src"), name(F.col("i") + 1).alias("dst")).distinct()
     both = pairs.union(pairs.select("dst", "src")).select("src", "dst", F.lit(float(domain_weight)).alias("w"))
@@ -64,9 +64,9 @@ def propagated(edges: DataFrame, seeds: DataFrame, keep: Written, rounds: int =
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of pages(page_id, url, html).
 
-    Trust flows from the hosts of allowed pages along links, distrust from the hosts of blocked pages against them. A host whose part of
-    distrust, distrust / (trust + distrust), is above the threshold is blocked; one that neither reaches is allowed, as is the
-    empty host of null urls. Null html has no links. Repeated rows each give a row, and count as a page each. An empty table gives an
+    Trust flows from the hosts of allowed pages along links, distrust from the hosts of blocked pages against them. Both are held against the
+    host's share of all pages: it is blocked if distrust / (trust + distrust + share) is above the threshold; one that
+    distrust doesn't reach is allowed, as is the empty host of null urls. Null html has no links. Repeated rows each give a row, and count as a page each. An empty table gives an
     empty result; other columns are ignored."""
     keep = Written(pages.sparkSession)
     host, path = split_url(F.col("url"))
@@ -79,7 +79,9 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFr
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     distrust = propagated(back, seeds.where("by_rule = 'block'").select("host", "mass"), keep)
     ranks = trust.select("host", F.col("rank").alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("rank").alias("d")))
-    part = F.round(F.sum("d") / (F.sum("t") + F.sum("d")), 9)  # so that the order of sums doesn't matter
-    hosts = ranks.groupBy("host").agg(F.when(part > threshold, "block").otherwise("allow").alias("by_links"))
+    ranks = ranks.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    own = judged.groupBy("host").agg(F.count("*").alias("n"))
+    part = F.round(F.col("d") / (F.col("t") + F.col("d") + F.col("n") / F.lit(max(1, judged.count()))), 9)  # so that the order of sums doesn't matter
+    hosts = ranks.join(own, "host").select("host", F.when(part > threshold, "block").otherwise("allow").alias("by_links"))
     out = judged.join(keep(hosts, "hosts"), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_links", F.lit("allow")).alias("verdict"))
