@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import scores, search, states
 from ..sources import frames
+from ..streaming import online
+from . import rounds
 from . import statements as S
 from .run import composed, run
 
@@ -28,7 +30,6 @@ STATEMENTS: dict[str, tuple[str, dict[str, str]]] = {
     "cost_linear_grid": (S.COST_LINEAR, WIDE),
     "cost_cosine_grid": (S.COST_COSINE, WIDE),
     "window_ncps": (S.WINDOW_NCPS, SERIES),
-    "binseg_k3": (S.BINSEG_K3, SERIES),
     "dynp_k2": (S.DYNP_K2, SERIES),
     "ggs_step": (S.GGS_STEP, SERIES),
     "prophet_grid": (S.PROPHET_GRID, SERIES),
@@ -133,10 +134,27 @@ def _detect(detector, monthly: bool) -> Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: _statement(n) for n in STATEMENTS},
+    "binseg_k3": lambda spark, sf_dir: rounds.binary_segmentation(plan(spark, sf_dir, S.EVENTS_HOURLY, {}), 3),
     "metric_f1": _marked(lambda df: M.f1_score(df), S.CPS),
     "metric_gaussian_f1": _marked(lambda df: M.gaussian_f1_score(df), S.CPS),
     "metric_sms": _marked(lambda df: M.state_matching_score(df), S.LABELS),
     **{n: _detect(d, False) for n, d in HOURLY.items()},
     **{n: _detect(d, True) for n, d in MONTHLY.items()},
 }
-ORACLE_SQL: dict[str, str] = {**{n: composed(s, **i) for n, (s, i) in STATEMENTS.items()}, "metric_f1": composed(S.F1_WIDE, **MARKED)}
+ORACLE_SQL: dict[str, str] = {**{n: composed(s, **i) for n, (s, i) in STATEMENTS.items()}, "metric_f1": composed(S.F1_WIDE, **MARKED), "binseg_k3": composed(S.BINSEG_K3, **SERIES)}
+
+
+def _stream(build: Callable[[DataFrame], DataFrame], mode: str = "append") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: online.drained(build(online.read_stream(spark, f"{sf_dir}/events.parquet")), mode)
+
+
+HOURLY_WINDOWS = """
+h AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS h, COUNT(*) AS value FROM {events} GROUP BY event_type, date_trunc('hour', ts))
+SELECT series_id, CAST(h AS VARCHAR(19)) AS start, value FROM h"""
+QUERIES |= {
+    "stream_changefinder": _stream(lambda s: online.scored(s, "event_type", "ts", "value", "changefinder")),
+    "stream_bocd": _stream(lambda s: online.scored(s, "event_type", "ts", "value", "bocd", mu=100.0, beta=1000.0)),
+    "stream_hourly": _stream(lambda s: online.tumbling(s, "event_type", "ts", F.count("*"), "1 hour").select("series_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "value"), "complete"),
+    "stream_sessions": _stream(lambda s: online.sessions(s, "user_id", "ts", "2 hours"), "append"),
+}
+ORACLE_SQL["stream_hourly"] = composed(HOURLY_WINDOWS)

@@ -99,17 +99,29 @@ SELECT series_id, cp, gain FROM r WHERE k <= 3"""
 )
 
 
+def split_round(min_size: int, jump: int) -> str:
+    """Of all open segments of a series the split that gains most; of equals the first segment and its last point."""
+    return f"""
+y AS (SELECT z.series_id, z.s, z.e, b.t AS b, (r.s2 - l.s2) - (r.s1 - l.s1) * (r.s1 - l.s1) / (z.e - z.s) - ((b.s2 - l.s2) - (b.s1 - l.s1) * (b.s1 - l.s1) / (b.t - z.s)) - ((r.s2 - b.s2) - (r.s1 - b.s1) * (r.s1 - b.s1) / (z.e - b.t)) AS gain
+      FROM {{open}} z JOIN {{sums}} l ON l.series_id = z.series_id AND l.t = z.s JOIN {{sums}} r ON r.series_id = z.series_id AND r.t = z.e
+      JOIN {{sums}} b ON b.series_id = z.series_id AND b.t >= z.s + {min_size} AND b.t <= z.e - {min_size} AND (b.t - z.s) % {jump} = 0),
+w AS (SELECT series_id, s, e, b, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY gain DESC, s, b DESC) AS k FROM y)
+SELECT series_id, s, e, b FROM w WHERE k = 1"""
+
+
+def apply_round(i: int) -> str:
+    return f"""
+n AS (SELECT z.series_id, z.s, CASE WHEN x.b IS NULL THEN z.e ELSE x.b END AS e, z.k FROM {{open}} z LEFT JOIN {{best}} x ON x.series_id = z.series_id AND x.s = z.s
+      UNION ALL SELECT series_id, b AS s, e, CAST({i} AS BIGINT) AS k FROM {{best}})
+SELECT series_id, s, e, k FROM n"""
+
+
 def binseg(k: int, min_size: int = 2, jump: int = 5) -> str:
-    """k rounds of greedy splits, unrolled: each splits the open segment of the largest gain."""
+    """The rounds in one text, for engines that keep the tables of a WITH."""
     text = PREFIX + "z0 AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS s, CAST(n AS BIGINT) AS e, CAST(0 AS BIGINT) AS k FROM q),\n"
     for i in range(k):
-        text += f"""y{i} AS (SELECT z.series_id, z.s, z.e, b.t AS b, (r.s2 - l.s2) - (r.s1 - l.s1) * (r.s1 - l.s1) / (z.e - z.s) - ((b.s2 - l.s2) - (b.s1 - l.s1) * (b.s1 - l.s1) / (b.t - z.s)) - ((r.s2 - b.s2) - (r.s1 - b.s1) * (r.s1 - b.s1) / (z.e - b.t)) AS gain
-      FROM z{i} z JOIN f l ON l.series_id = z.series_id AND l.t = z.s JOIN f r ON r.series_id = z.series_id AND r.t = z.e
-      JOIN f b ON b.series_id = z.series_id AND b.t >= z.s + {min_size} AND b.t <= z.e - {min_size} AND (b.t - z.s) % {jump} = 0),
-x{i} AS (SELECT series_id, s, e, b FROM (SELECT series_id, s, e, b, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY gain DESC, s, b DESC) AS k FROM y{i}) w WHERE k = 1),
-z{i + 1} AS (SELECT z.series_id, z.s, CASE WHEN x.b IS NULL THEN z.e ELSE x.b END AS e, z.k FROM z{i} z LEFT JOIN x{i} x ON x.series_id = z.series_id AND x.s = z.s
-      UNION ALL SELECT series_id, b AS s, e, CAST({i + 1} AS BIGINT) AS k FROM x{i}){"," if i < k - 1 else ""}
-"""
+        names = lambda t: t.replace("{open}", f"z{i}").replace("{sums}", "f").replace("{best}", f"x{i}")  # noqa: B023, E731
+        text += f"x{i} AS (WITH {names(split_round(min_size, jump)).strip()}),\nz{i + 1} AS (WITH {names(apply_round(i + 1)).strip()}){',' if i < k - 1 else ''}\n"
     return text + f"SELECT series_id, k, s AS cp FROM z{k} WHERE s > 0"
 
 
