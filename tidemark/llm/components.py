@@ -15,7 +15,7 @@ def components(links: DataFrame, keep: Written) -> DataFrame:
     and goes on with the links between the ends. At least half the nodes of a component are gone after a round, so rounds
     and doublings are logarithmic. Hubs only ever meet minima that are taken before the shuffle, and joins that can split."""
     both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges, labels = keep(both.distinct(), "edges"), None
+    edges, labels = keep(both, "edges"), None
     while not edges.isEmpty():
         hooks = keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("top")), "hooks")
         while True:

@@ -20,6 +20,8 @@ WORDS, PERCENT = 5, 75
 #: Two collections of HALVES half keys, each of DEPTH minhashes. A table for each pair of halves makes HALVES**2 tables out of
 #: 2 * HALVES * DEPTH minhashes. At similarity 0.75 a pair shares no table with probability 1e-4, at 0.8 with 1e-5.
 HALVES, DEPTH = 12, 2
+#: Further stars in buckets that the first star has not joined.
+STARS = 6
 _rng = np.random.default_rng(20240301)
 MULTIPLIERS = _rng.integers(1, 1 << 63, 2 * HALVES * DEPTH, dtype="uint64") * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(1, 1 << 63, 2 * HALVES * DEPTH, dtype="uint64")
@@ -85,15 +87,37 @@ def _close_in_size(x: Column, y: Column) -> Column:
     return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
+def _torn(met: DataFrame, links: DataFrame, keep: Written) -> DataFrame:
+    """(node, bucket, component) of the buckets that hold several components."""
+    groups = components(links, keep)
+    placed = met.select("node", "bucket").join(groups, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
+    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return keep(placed.join(torn, "bucket", "left_semi"), "torn")
+
+
+def _stars(met: DataFrame, links: DataFrame, sets: DataFrame, keep: Written) -> tuple[DataFrame, DataFrame]:
+    """More stars in torn buckets: STARS other nodes, by as many hashes, are held against all nodes of other components. In a
+    group of edited copies, where any two are similar with some chance, these join nearly all, at a cost linear in its size."""
+    torn = _torn(met, links, keep)
+    if torn.isEmpty():
+        return links, torn
+    hubs = torn.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", "component")).alias(f"h{i}") for i in range(STARS)])
+    hubs = hubs.select("bucket", F.explode(F.array(*[f"h{i}" for i in range(STARS)])).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.component").alias("other")).distinct()
+    pairs = torn.join(hubs, "bucket").where("component <> other").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = keep(links.unionByName(_confirmed(pairs, sets)), "links")
+    return links, _torn(met, links, keep)
+
+
 def near_links(nodes: DataFrame, docs: DataFrame, keep: Written) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of nodes(node, n_shingles, first_id, halves) that are similar enough and
     share a table.
 
     A half key that one node alone has makes no table worth keeping, so nodes without a shared half key on both sides are
     done. In each table's bucket every node is held against the bucket's smallest node only, which is linear in
-    its size. A bucket that is still in several components after that may hide links between its other
-    nodes; all nodes of such buckets go through an exact prefix join, which holds only nodes of different components against
-    each other: of each set's hashes, ordered from the rarest, two similar sets share one of the first n - ceil(0.75 n) + 1."""
+    its size; buckets that stay in several components get a few more such stars. One that is still in several may hide
+    links between its other nodes; all nodes of such buckets go through an exact prefix join, which holds only nodes of different
+    components against each other: of each set's hashes, ordered from the rarest, two similar sets share one of the first
+    n - ceil(0.75 n) + 1."""
     halves = nodes.select("node", F.posexplode("halves").alias("place", "key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     halves = keep(halves.join(shared, "key", "left_semi"), "halves")
@@ -111,10 +135,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, keep: Written) -> DataFrame:
     pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = keep(_confirmed(pairs, sets), "links")
 
-    groups = components(links, keep)
-    placed = met.join(groups, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = keep(placed.join(torn, "bucket", "left_semi").select("node", "component").distinct(), "rest")
+    links, torn = _stars(met, links, sets, keep)
+    rest = keep(torn.select("node", "component").distinct(), "rest")
     if rest.isEmpty():
         return links
     elements = rest.join(sets, "node").select("node", "component", F.size("own").alias("n"), F.explode("own").alias("x"))
