@@ -160,8 +160,10 @@ def test_urls(spark):
 
 
 def test_propagation(spark):
-    edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "c", 1.0), ("d", "a", 2.0)]
-    found = {r.host: r["rank"] for r in urls.propagated(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame([("a", 3.0)], "host string, mass double"), Written(spark), rounds=6).collect()}
+    edges = [("x", "a", "b", 1.0), ("x", "b", "c", 1.0), ("x", "c", "a", 1.0), ("x", "a", "c", 1.0), ("x", "d", "a", 2.0), ("y", "b", "a", 1.0)]
+    seeds = [("x", "a", 3.0), ("y", "q", 1.0)]
+    ranks = urls.propagated(spark.createDataFrame(edges, "kind string, src string, dst string, w double"), spark.createDataFrame(seeds, "kind string, host string, mass double"), Written(spark), rounds=6)
+    found = {r.host: r["rank"] for r in ranks.where("kind = 'x'").collect()}
     rank = {"a": 1.0}
     for _ in range(6):
         new = {"a": 0.15}

@@ -45,17 +45,18 @@ def host_edges(pages: DataFrame, domain_weight: float = 0.5) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, keep: Written, rounds: int = 12, damping: float = 0.85, cut: int = 3) -> DataFrame:
-    """(host, rank): PageRank over edges(src, dst, w), personalised to seeds(host, mass); masses are scaled to sum 1. Weight that comes to a host
-    without edges ends there. Written down every `cut` rounds, so plans stay short and lost work small."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("all"))
-    shares = keep(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
-    total = seeds.agg(F.sum("mass")).first()[0] or 1.0
-    start = keep(seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("mass")), "seeds")
-    base = start.select("host", ((1 - damping) * F.col("mass")).alias("rank"))
-    ranks = start.select("host", F.col("mass").alias("rank"))
+    """(kind, host, rank): for each kind of its own, PageRank over edges(kind, src, dst, w) personalised to seeds(kind, host, mass); a kind's
+    masses are scaled to sum 1. Weight that comes to a host without edges ends there. Written down every `cut` rounds, so plans
+    stay short and lost work small."""
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
+    shares = keep(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
+    total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
+    start = keep(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("rank")), "seeds")
+    base = start.withColumn("rank", (1 - damping) * F.col("rank"))
+    ranks = start
     for i in range(1, rounds + 1):
-        sent = ranks.join(shares, ranks["host"] == shares["src"]).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        ranks = sent.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
+        sent = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+        ranks = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % cut == 0:
             ranks = keep(ranks, "ranks")
     return ranks
@@ -74,12 +75,12 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFr
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     judged = keep(rows.drop("html").withColumn("rule", text).withColumn("by_rule", verdict), "judged")
     edges = keep(host_edges(rows), "edges")
-    seeds = keep(judged.where("by_rule IS NOT NULL AND host <> ''").groupBy("host", "by_rule").agg(F.count("*").cast("double").alias("mass")), "by_rule")
-    trust = propagated(edges, seeds.where("by_rule = 'allow'").select("host", "mass"), keep)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = propagated(back, seeds.where("by_rule = 'block'").select("host", "mass"), keep)
-    ranks = trust.select("host", F.col("rank").alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("rank").alias("d")))
-    ranks = ranks.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    seeds = keep(judged.where("by_rule IS NOT NULL AND host <> ''").groupBy(F.col("by_rule").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass")), "by_rule")
+    forth = edges.select(F.lit("allow").alias("kind"), "src", "dst", "w")
+    back = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    ranks = propagated(forth.unionByName(back), seeds, keep)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    ranks = ranks.groupBy("host").agg(of("allow").alias("t"), of("block").alias("d"))
     own = judged.groupBy("host").agg(F.count("*").alias("n"))
     part = F.round(F.col("d") / (F.col("t") + F.col("d") + F.col("n") / F.lit(max(1, judged.count()))), 9)  # so that the order of sums doesn't matter
     hosts = ranks.join(own, "host").select("host", F.when(part > threshold, "block").otherwise("allow").alias("by_links"))
