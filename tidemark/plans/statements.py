@@ -150,12 +150,13 @@ SELECT DISTINCT n.series_id, CAST(FLOOR((n - 1) * s.t / 5.0 + 0.5) AS BIGINT) AS
 
 # --- neighbours -----------------------------------------------------------------------------------------------------
 
-#: z-normalised distances of all pairs of windows of 24 whose starts are over 12 apart; dot products run along the diagonals.
+#: z-normalised distances of all pairs of windows of 24 whose starts are over 12 apart; dot products run along the diagonals. The bound
+#: a.t >= 0 says nothing, but without it one engine loses the pairs of the first window.
 PAIRS = """
 q AS (SELECT series_id, t, CAST(v AS DOUBLE) / 100 AS x FROM {series} WHERE t < 240),
 st AS (SELECT series_id, t, AVG(x) OVER w AS mu, CASE WHEN SQRT(GREATEST(AVG(x * x) OVER w - (AVG(x) OVER w) * (AVG(x) OVER w), 0)) < 1e-3 THEN 1 ELSE SQRT(GREATEST(AVG(x * x) OVER w - (AVG(x) OVER w) * (AVG(x) OVER w), 0)) END AS sd, COUNT(*) OVER w AS c FROM q
        WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
-d AS (SELECT a.series_id, a.t AS i, b.t AS j, SUM(a.x * b.x) OVER (PARTITION BY a.series_id, b.t - a.t ORDER BY a.t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS dot FROM q a JOIN q b ON a.series_id = b.series_id AND b.t > a.t + 12),
+d AS (SELECT a.series_id, a.t AS i, b.t AS j, SUM(a.x * b.x) OVER (PARTITION BY a.series_id, b.t - a.t ORDER BY a.t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS dot FROM q a JOIN q b ON a.series_id = b.series_id AND b.t > a.t + 12 AND a.t >= 0),
 p AS (SELECT d.series_id, i, j, ROUND(GREATEST(2 * 24 * (1 - (dot - 24 * x.mu * y.mu) / (24 * x.sd * y.sd)), 0), 6) AS dist FROM d JOIN st x ON x.series_id = d.series_id AND x.t = i AND x.c = 24 JOIN st y ON y.series_id = d.series_id AND y.t = j AND y.c = 24),
 both_ways AS (SELECT series_id, i, j, dist FROM p UNION ALL SELECT series_id, j AS i, i AS j, dist FROM p)"""
 KNN = PAIRS + "\nSELECT series_id, i, rank, j, ROUND(dist, 4) AS dist FROM (SELECT series_id, i, j, dist, CAST(ROW_NUMBER() OVER (PARTITION BY series_id, i ORDER BY dist, j) AS BIGINT) AS rank FROM both_ways) x WHERE rank <= 3"
@@ -239,10 +240,11 @@ SELECT series_id, t, label AS state FROM r WHERE k = 1"""
 # --- metrics --------------------------------------------------------------------------------------------------------
 
 SEGMENTS = """
-k AS (SELECT DISTINCT series_id, MAX(cp) OVER (PARTITION BY series_id) AS n FROM {cps}),
-b AS (SELECT series_id, kind, cp FROM {cps} UNION SELECT series_id, 'true' AS kind, 0 AS cp FROM k UNION SELECT series_id, 'pred' AS kind, 0 AS cp FROM k UNION SELECT series_id, 'true' AS kind, n AS cp FROM k UNION SELECT series_id, 'pred' AS kind, n AS cp FROM k),
+k AS (SELECT series_id, MAX(cp) AS n FROM {cps} GROUP BY series_id),
+x AS (SELECT k.series_id, v.kind, CASE WHEN v.w = 0 THEN 0 ELSE k.n END AS cp FROM k CROSS JOIN (VALUES ('true', 0), ('pred', 0), ('true', 1), ('pred', 1)) AS v(kind, w)),
+b AS (SELECT series_id, kind, cp FROM {cps} UNION SELECT series_id, kind, cp FROM x),
 s AS (SELECT series_id, kind, cp AS s, LEAD(cp) OVER (PARTITION BY series_id, kind ORDER BY cp) AS e FROM b),
-o AS (SELECT g.series_id, g.s AS gs, g.e AS ge, p.s AS ps, p.e AS pe, (LEAST(g.e, p.e) - GREATEST(g.s, p.s)) * 1.0 / (GREATEST(g.e, p.e) - LEAST(g.s, p.s)) AS iou
+o AS (SELECT g.series_id, g.s AS gs, g.e AS ge, p.s AS ps, p.e AS pe, CAST(LEAST(g.e, p.e) - GREATEST(g.s, p.s) AS DOUBLE) / (GREATEST(g.e, p.e) - LEAST(g.s, p.s)) AS iou
       FROM s g JOIN s p ON g.series_id = p.series_id AND g.kind = 'true' AND p.kind = 'pred' AND g.s < p.e AND p.s < g.e WHERE g.e IS NOT NULL AND p.e IS NOT NULL),
 gt AS (SELECT series_id, SUM((ge - gs) * m) / SUM(ge - gs) AS c FROM (SELECT series_id, gs, ge, MAX(iou) AS m FROM o GROUP BY series_id, gs, ge) x GROUP BY series_id),
 pr AS (SELECT series_id, SUM((pe - ps) * m) / SUM(pe - ps) AS c FROM (SELECT series_id, ps, pe, MAX(iou) AS m FROM o GROUP BY series_id, ps, pe) x GROUP BY series_id)"""
