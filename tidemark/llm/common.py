@@ -27,6 +27,7 @@ class Written:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # Spark 4.1 zips the partitions of unlike branches otherwise
         self.base = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[str, str] = {}
