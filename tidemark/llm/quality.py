@@ -84,18 +84,21 @@ def binomial_bound(failures: int, n: int, error: float) -> float:
 
 def choose_cutoffs(counts: list[dict], limit: float, error: float, rules: dict[str, str] = RULES) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule. counts: one row a stratum with good, bad and, for each rule and cutoff, how many good and bad
-    texts lie above it. A rule's part of the allowed false rejections is limit / rules; the error is shared evenly
-    among all tests (Bonferroni). Among the cutoffs whose bound is within its part, that with the most bad texts less good
-    ones by rate is taken, the most lenient if several; none if no bad text would go."""
-    tests = max(1, len(counts)) * len(rules) * len(CUTOFFS)
+    texts lie above it. A rule's part of the allowed false rejections is limit / rules. The error is shared evenly among the
+    strata's rules (Bonferroni); a rule's cutoffs are tested in a fixed order, from the most lenient, up to the first whose bound is not
+    within its part, which needs no further share. Of those before it, that with the most bad texts less good ones by rate is
+    taken, the most lenient if several; none if no bad text would go."""
+    tests = max(1, len(counts)) * len(rules)
     found: dict[str, dict[str, float]] = {}
     for row in counts:
         for rule in rules:
             best = (0.0, None)
             for i, cutoff in reversed(list(enumerate(CUTOFFS))):
                 wrong, right = row[f"g_{rule}_{i}"], row[f"b_{rule}_{i}"]
-                gain = right / max(1, row["bad"]) - wrong / max(1, row["good"])
-                if gain > best[0] + 1e-12 and row["good"] and binomial_bound(wrong, row["good"], error / tests) <= limit / len(rules):
+                if not row["good"] or binomial_bound(wrong, row["good"], error / tests) > limit / len(rules):
+                    break
+                gain = right / max(1, row["bad"]) - wrong / row["good"]
+                if gain > best[0] + 1e-12:
                     best = (gain, cutoff)
             if best[1] is not None:
                 found.setdefault(row["stratum"], {})[rule] = best[1]
