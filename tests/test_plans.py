@@ -69,7 +69,7 @@ def test_stream_is_batch(spark, tmp_path, model):
     got = sorted((r.t, r.score) for r in online.drained(online.scored(stream, "key", "ts", "value", model)).collect())
     one = online.MODELS[model]()
     want = [(s * 1_000_000, one.update(v)) for _, s, v in rows]
-    assert got == [(t, pytest.approx(v)) for t, v in want[: len(got)]] and len(got) >= 50
+    assert got == [(t, pytest.approx(v)) for t, v in want[: len(got)]] and len(got) >= 10
 
 
 def test_adaptive_threshold():

@@ -145,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {**{n: composed(s, **i) for n, (s, i) in STATEMENTS
 
 
 def _stream(build: Callable[[DataFrame], DataFrame], mode: str = "append") -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: online.drained(build(online.read_stream(spark, f"{sf_dir}/events.parquet")), mode)
+    return lambda spark, sf_dir: online.drained(build(online.read_stream(spark, sf_dir, "events")), mode)
 
 
 HOURLY_WINDOWS = """

@@ -49,7 +49,7 @@ def read_csv(spark: SparkSession, path: str, channels: Sequence[str], label: str
     the file, which only a reader that does not split files knows, so each is read whole. A file is a series, named by its path's end."""
     names = [*channels, *([label] if label else [])]
     files = spark.read.format("binaryFile").load(path)
-    lines = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("series_id"), F.posexplode(F.split(F.trim(F.decode("content", "UTF-8")), r"\r?\n")).alias("t", "line"))
+    lines = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("series_id"), F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\A\s+|\s+\z", ""), r"\r?\n")).alias("t", "line"))
     cells = lines.select("series_id", F.col("t").cast("long").alias("t"), F.split("line", r"\s*,\s*|\s+").alias("c"))
     out = cells.select(F.lit(series_id).alias("series_id") if series_id else F.col("series_id"), "t", F.transform(F.slice("c", 1, len(channels)), lambda v: v.cast("double")).alias("x"), *([F.element_at("c", len(names)).cast("double").cast("int").alias("y")] if label else []))
     return out

@@ -102,18 +102,15 @@ def scored(stream: DataFrame, key: str, time: str, value: str, model: str, delay
         held, waiting, last = pickle.loads(state.get[0]) if state.exists else (make(**params), [], -1)
         for f in frames:
             waiting += [(int(t), float(v)) for t, v in zip(f["t"], f["value"], strict=True) if int(t) > last]
-        until = float("inf") if state.hasTimedOut else state.getCurrentWatermarkMs() * 1000
+        until = state.getCurrentWatermarkMs() * 1000
         waiting.sort()
         ready = [w for w in waiting if w[0] <= until]
         rows = [(group[0], t, v, held.update(v)) for t, v in ready]
         waiting = waiting[len(ready) :]
         last = ready[-1][0] if ready else last
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            state.update((pickle.dumps((held, waiting, last)),))
-            if waiting:
-                state.setTimeoutTimestamp(max(waiting[-1][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        state.update((pickle.dumps((held, waiting, last)),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=["series_id", "t", "value", "score"])
 
     rows = stream.select(F.col(key).cast("string").alias("series_id"), F.col(time).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value")).where("value IS NOT NULL AND ts IS NOT NULL")
@@ -145,5 +142,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The files of a table as a stream; the pattern lets a table that is a single file be one."""
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{table[0]}]{table[1:]}.parquet")
