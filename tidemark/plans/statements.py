@@ -153,7 +153,7 @@ SELECT DISTINCT n.series_id, CAST(FLOOR((n - 1) * s.t / 5.0 + 0.5) AS BIGINT) AS
 #: z-normalised distances of all pairs of windows of 24 whose starts are over 12 apart; dot products run along the diagonals. The bound
 #: a.t >= 0 says nothing, but without it one engine loses the pairs of the first window.
 PAIRS = """
-q AS (SELECT series_id, t, CAST(v AS DOUBLE) / 100 AS x FROM {series} WHERE t < 240),
+q AS (SELECT series_id, t, CAST(v AS DOUBLE) / 100 AS x FROM {series}),
 st AS (SELECT series_id, t, AVG(x) OVER w AS mu, CASE WHEN SQRT(GREATEST(AVG(x * x) OVER w - (AVG(x) OVER w) * (AVG(x) OVER w), 0)) < 1e-3 THEN 1 ELSE SQRT(GREATEST(AVG(x * x) OVER w - (AVG(x) OVER w) * (AVG(x) OVER w), 0)) END AS sd, COUNT(*) OVER w AS c FROM q
        WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
 d AS (SELECT a.series_id, a.t AS i, b.t AS j, SUM(a.x * b.x) OVER (PARTITION BY a.series_id, b.t - a.t ORDER BY a.t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS dot FROM q a JOIN q b ON a.series_id = b.series_id AND b.t > a.t + 12 AND a.t >= 0),
@@ -185,7 +185,7 @@ SELECT series_id, s AS t, ROUND(0.5 * (1 + right_ones * 1.0 / all_ones - (n - s
 ACF = """
 q AS (SELECT series_id, t, CAST(v AS DOUBLE) - AVG(CAST(v AS DOUBLE)) OVER (PARTITION BY series_id) AS y FROM {series}),
 z AS (SELECT series_id, SUM(y * y) AS z FROM q GROUP BY series_id),
-c AS (SELECT a.series_id, b.t - a.t AS lag, SUM(a.y * b.y) AS c FROM q a JOIN q b ON a.series_id = b.series_id AND b.t - a.t BETWEEN 9 AND 80 GROUP BY a.series_id, b.t - a.t),
+c AS (SELECT a.series_id, b.t - a.t AS lag, SUM(a.y * b.y) AS c FROM q a JOIN q b ON a.series_id = b.series_id AND b.t - a.t BETWEEN 9 AND 999 GROUP BY a.series_id, b.t - a.t),
 p AS (SELECT c.series_id, lag, c / z AS acf, LAG(c / z) OVER (PARTITION BY c.series_id ORDER BY lag) AS a, LEAD(c / z) OVER (PARTITION BY c.series_id ORDER BY lag) AS b FROM c JOIN z ON z.series_id = c.series_id),
 r AS (SELECT series_id, lag, acf, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY acf DESC, lag) AS k FROM p WHERE acf > a AND acf > b)
 SELECT series_id, lag AS width, ROUND(acf, 5) AS acf FROM r WHERE k = 1"""
