@@ -75,3 +75,26 @@ def test_stream_is_batch(spark, tmp_path, model):
 def test_adaptive_threshold():
     bar = online.AdaptiveThreshold(0.5, 0.1)
     assert bar.update(0.9) == 1 and bar.bar > 0.5 and bar.update(0.1) == 0
+
+
+def test_converters(spark):
+    from tidemark.operators import convert as V
+
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    labels = spark.createDataFrame([("a", t, s) for t, s in enumerate([7, 7, 3, 3, 7])] + [("b", 0, 1)], "series_id string, t long, state int")
+    lengths = spark.createDataFrame([("a", 5), ("b", 1), ("c", 0)], "series_id string, n long")
+    cps = V.change_points(labels)
+    assert rows(cps) == [("a", 2), ("a", 4)]
+    assert rows(V.with_ends(cps, lengths.where("n > 0"))) == [("a", 0), ("a", 2), ("a", 4), ("a", 5), ("b", 0), ("b", 1)]
+    assert rows(V.without_ends(V.with_ends(cps, lengths), lengths)) == [("a", 2), ("a", 4)]
+    assert [r[2] for r in rows(V.state_labels(cps, lengths))] == [0, 0, 1, 1, 2, 0]
+    assert [r[2] for r in rows(V.classification(cps, lengths))] == [0, 0, 1, 0, 1, 0]
+    assert rows(V.labels_of_segments(frames.segments_of(labels))) == rows(labels)
+    assert [r[2] for r in rows(V.expanded(labels, 2))] == [7, 7, 7, 7, 3, 3, 3, 3, 7, 7, 1, 1]
+    assert [r[2] for r in rows(V.by_first_seen(labels))] == [0, 0, 1, 1, 0, 0]
+    series = labels.selectExpr("series_id", "t", "array(CAST(state AS DOUBLE)) AS x")
+    assert rows(V.sliding_windows(series, 3, 2).select("series_id", "t")) == [("a", 0), ("a", 2)]
+    tall = spark.createDataFrame([("a", 0, t, v) for t, v in enumerate([None, 1.0, float("nan"), 3.0, None])], "series_id string, channel int, t long, value double")
+    assert [r[3] for r in rows(V.interpolated(tall))] == [0.0, 0.0, 0.5, 1.0, 1.0]
+    windows = spark.createDataFrame([("a", 0, 2), ("a", 1, 1)], "series_id string, start long, label int")
+    assert [r[2] for r in rows(V.vote(windows, lengths, 3))] == [2, 1, 1, 1, 0, 0]
