@@ -157,9 +157,10 @@ q AS (SELECT series_id, t, CAST(v AS DOUBLE) / 100 AS x FROM {series}),
 st AS (SELECT series_id, t, AVG(x) OVER w AS mu, CASE WHEN SQRT(GREATEST(AVG(x * x) OVER w - (AVG(x) OVER w) * (AVG(x) OVER w), 0)) < 1e-3 THEN 1 ELSE SQRT(GREATEST(AVG(x * x) OVER w - (AVG(x) OVER w) * (AVG(x) OVER w), 0)) END AS sd, COUNT(*) OVER w AS c FROM q
        WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
 d AS (SELECT a.series_id, a.t AS i, b.t AS j, SUM(a.x * b.x) OVER (PARTITION BY a.series_id, b.t - a.t ORDER BY a.t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS dot FROM q a JOIN q b ON a.series_id = b.series_id AND b.t > a.t + 12 AND a.t >= 0),
-p AS (SELECT d.series_id, i, j, ROUND(GREATEST(2 * 24 * (1 - (dot - 24 * x.mu * y.mu) / (24 * x.sd * y.sd)), 0), 6) AS dist FROM d JOIN st x ON x.series_id = d.series_id AND x.t = i AND x.c = 24 JOIN st y ON y.series_id = d.series_id AND y.t = j AND y.c = 24),
-both_ways AS (SELECT series_id, i, j, dist FROM p UNION ALL SELECT series_id, j AS i, i AS j, dist FROM p)"""
-KNN = PAIRS + "\nSELECT series_id, i, rank, j, ROUND(dist, 4) AS dist FROM (SELECT series_id, i, j, dist, CAST(ROW_NUMBER() OVER (PARTITION BY series_id, i ORDER BY dist, j) AS BIGINT) AS rank FROM both_ways) x WHERE rank <= 3"
+r0 AS (SELECT d.series_id, i, j, GREATEST(2 * 24 * (1 - (dot - 24 * x.mu * y.mu) / (24 * x.sd * y.sd)), 0) AS raw FROM d JOIN st x ON x.series_id = d.series_id AND x.t = i AND x.c = 24 JOIN st y ON y.series_id = d.series_id AND y.t = j AND y.c = 24),
+p AS (SELECT series_id, i, j, raw, ROUND(raw, 6) AS dist FROM r0),
+both_ways AS (SELECT series_id, i, j, raw, dist FROM p UNION ALL SELECT series_id, j AS i, i AS j, raw, dist FROM p)"""
+KNN = PAIRS + "\nSELECT series_id, i, rank, j, ROUND(raw, 4) AS dist FROM (SELECT series_id, i, j, raw, CAST(ROW_NUMBER() OVER (PARTITION BY series_id, i ORDER BY dist, j) AS BIGINT) AS rank FROM both_ways) x WHERE rank <= 3"
 PROFILE = PAIRS + "\nSELECT series_id, i AS t, j, ROUND(SQRT(dist), 4) AS score FROM (SELECT series_id, i, j, dist, ROW_NUMBER() OVER (PARTITION BY series_id, i ORDER BY dist, j) AS rank FROM both_ways) x WHERE rank = 1"
 FLUSS = (
     PAIRS
@@ -168,7 +169,7 @@ nn AS (SELECT series_id, i, j FROM (SELECT series_id, i, j, ROW_NUMBER() OVER (P
 ev AS (SELECT series_id, LEAST(i, j) AS t, 1 AS d FROM nn UNION ALL SELECT series_id, GREATEST(i, j) AS t, -1 AS d FROM nn UNION ALL SELECT series_id, i AS t, 0 AS d FROM nn),
 su AS (SELECT series_id, t, SUM(d) AS d FROM ev GROUP BY series_id, t),
 ac AS (SELECT series_id, t, SUM(d) OVER (PARTITION BY series_id ORDER BY t) AS ac, COUNT(*) OVER (PARTITION BY series_id) AS n FROM su)
-SELECT series_id, t, ROUND(CASE WHEN t < 24 OR t >= n - 24 THEN 1 WHEN 2.0 * t * (n - t) = 0 THEN 1 ELSE LEAST(ac / (2.0 * t * (n - t) / n), 1) END, 5) AS score FROM ac"""
+SELECT series_id, t, ROUND(CASE WHEN t < 24 OR t >= n - 24 THEN CAST(1 AS DOUBLE) ELSE LEAST(CAST(ac AS DOUBLE) * n / (2 * t * (n - t)), CAST(1 AS DOUBLE)) END, 5) AS score FROM ac"""
 )
 #: Scores of all splits from the neighbours: m is the second largest of three, so a window votes right of s if m >= s.
 CLASP_PROFILE = (
@@ -180,7 +181,7 @@ n AS (SELECT series_id, COUNT(*) AS n FROM mj GROUP BY series_id),
 s AS (SELECT mj.series_id, i AS s, n.n FROM mj JOIN n ON n.series_id = mj.series_id WHERE i >= 48 AND i < n.n - 24),
 c AS (SELECT s.series_id, s.s, s.n, SUM(CASE WHEN i >= s.s AND m >= s.s THEN 1 ELSE 0 END) AS right_ones,
              SUM(CASE WHEN m >= s.s OR (i < s.s AND i >= s.s - 24) THEN 1 ELSE 0 END) AS all_ones FROM s JOIN mj ON mj.series_id = s.series_id GROUP BY s.series_id, s.s, s.n)
-SELECT series_id, s AS t, ROUND(0.5 * (1 + right_ones * 1.0 / all_ones - (n - s - right_ones) * 1.0 / (n - all_ones)), 6) AS score FROM c WHERE all_ones > 0 AND all_ones < n"""
+SELECT series_id, s AS t, ROUND((1 + CAST(right_ones AS DOUBLE) / all_ones - CAST(n - s - right_ones AS DOUBLE) / (n - all_ones)) / 2, 6) AS score FROM c WHERE all_ones > 0 AND all_ones < n"""
 )
 ACF = """
 q AS (SELECT series_id, t, CAST(v AS DOUBLE) - AVG(CAST(v AS DOUBLE)) OVER (PARTITION BY series_id) AS y FROM {series}),
