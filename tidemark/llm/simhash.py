@@ -86,7 +86,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)], schema=RESULT)
 
 
-def against_next(docs: DataFrame, bytes_each: int = 32 << 20) -> DataFrame:
+def against_next(docs: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
     """A row of RESULT for every row of docs(doc_id, text), whose next document is the one of the next doc_id (after the last the
     first; a single document is its own next).
 
