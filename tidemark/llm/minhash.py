@@ -117,7 +117,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, keep: Written) -> DataFrame:
     its size; buckets that stay in several components get a few more such stars. One that is still in several may hide
     links between its other nodes; all nodes of such buckets go through an exact prefix join, which holds only nodes of different
     components against each other: of each set's hashes, ordered from the rarest, two similar sets share one of the first
-    n - ceil(0.75 n) + 1."""
+    n - ceil(0.75 n) + 1. Two sets that share a hash and also the shared hash before it have met there already, so a passage of many
+    hashes pairs its sets once and not at each of them."""
     halves = nodes.select("node", F.posexplode("halves").alias("place", "key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     halves = keep(halves.join(shared, "key", "left_semi"), "halves")
@@ -143,12 +144,17 @@ def near_links(nodes: DataFrame, docs: DataFrame, keep: Written) -> DataFrame:
     elements = keep(elements, "elements")
     often = elements.groupBy("x").agg(F.count("*").alias("often"))
     ranked = elements.join(often, "x").withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("often", "x")))
-    prefix = keep(ranked.where(f"often > 1 AND rank <= n - CEIL({PERCENT} * n / 100) + 1").select("x", "node", "component", "n"), "prefix")
-    apart = prefix.select("x", "component").distinct()
-    meets = apart.join(apart.withColumnRenamed("component", "other"), "x").where("component < other")
-    one = prefix.select("x", F.col("node").alias("a"), "component", F.col("n").alias("na"))
-    two = prefix.select("x", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("nb"))
-    more = meets.join(one, ["x", "component"]).join(two, ["x", "other"]).where(_close_in_size(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    prefix = ranked.where(f"often > 1 AND rank <= n - CEIL({PERCENT} * n / 100) + 1").select("x", "node", "component", "n", F.lag("x").over(W.partitionBy("node").orderBy("often", "x")).alias("before"))
+    prefix = keep(prefix, "prefix")
+    useful = prefix.groupBy("x").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.count_if(F.col("before").isNull()).alias("first"))
+    prefix = prefix.join(useful.where("c1 < c2 AND (first > 0 OR b1 < b2)").select("x"), "x", "left_semi")
+    apart = prefix.select("x", "component", "before").distinct()
+    meets = apart.join(apart.toDF("x", "other", "other_before"), "x").where("component < other AND COALESCE(before <> other_before, true)")
+    one = prefix.select("x", F.col("node").alias("a"), "component", F.col("before").alias("p"), F.col("n").alias("na"))
+    two = prefix.select("x", F.col("node").alias("b"), F.col("component").alias("other"), F.col("before").alias("q"), F.col("n").alias("nb"))
+    more = meets.alias("m").join(one.alias("o"), F.expr("m.x = o.x AND m.component = o.component AND m.before <=> o.p"))
+    more = more.join(two.alias("t"), F.expr("m.x = t.x AND m.other = t.other AND m.other_before <=> t.q"))
+    more = more.where(_close_in_size(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     return links.unionByName(_confirmed(keep(more, "more"), sets))
 
 
