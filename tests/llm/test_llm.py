@@ -350,6 +350,28 @@ def test_wrapper_alignment():
     assert [(k.label, k.repeated, k.optional) for k in kids] == [("h2", False, True), ("p", True, False), ("table", False, True)]
 
 
+def main_texts(pages):
+    """Texts of one host's pages by their common wrapper."""
+    wrapper = wrappers.named(wrappers.parse(pages[0]))
+    wrapper = wrappers.merge(wrapper, wrapper)
+    for page in pages[1:]:
+        wrapper = wrappers.merge(wrapper, wrappers.named(wrappers.parse(page)))
+    wrapper = wrappers.Node.of(wrappers.json.loads(wrappers.json.dumps(wrapper.plain())))
+    return [wrappers.main_text(wrappers.parse(page), wrapper) for page in pages]
+
+
+def test_template_slots_are_counted_by_pages():
+    own = [f"<p>same on all</p><div id=post-{i}1><h2>title {i}</h2>text {i}</div>" for i in range(4)]
+    assert main_texts(own) == [f"title {i} text {i}" for i in range(4)]
+    lone = ["<p>x1</p>", "<p>x2</p>", "<p>x3</p><blockquote>quoted</blockquote>", "<p>x4</p><table><tr><td>cell</table>"]
+    assert main_texts(lone) == ["x1", "x2", "x3 quoted", "x4 cell"]
+    assert main_texts(["<p>a copy</p><div>of one page</div>"] * 5) == ["a copy of one page"] * 5
+    beside = [f"<div>own {i}<hr><p>p{i}</p>the same</div>" for i in range(4)]
+    assert main_texts(beside) == [f"own {i} p{i}" for i in range(4)]
+    assert main_texts(beside[:2]) == [f"own {i} p{i} the same" for i in range(2)]
+    assert main_texts([f"<div id=a{i}x>kept {i}</div>" for i in range(4)]) == [f"kept {i}" for i in range(4)]
+
+
 def brute_capacity(sizes, shards):
     low = max([-(-sum(sizes) // shards), *sizes])
     while True:

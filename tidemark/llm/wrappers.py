@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -28,6 +29,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An opening tag that ends an open element of its own kind among these, up to the list or table it stands in.
 ENDS_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 MAIN = ("article", "main")
+#: A text is the template's if it is the same on this many different pages of a host at least.
+TEMPLATE = 3
+#: Parts of classes and ids that number a page or an element and name no kind of it.
+NUMBER = re.compile(r"\d+|.*\d\d.*")
 #: Elements, and words in the classes, ids and roles of elements, that hold no main text.
 ASIDE = frozenset("nav footer aside form button select dialog menu fieldset".split())
 ASIDE_NAMES = frozenset(
@@ -37,22 +42,38 @@ ASIDE_NAMES = frozenset(
 
 class Node:
     """An element (or, with the label "", a text slot) of a page or a wrapper. In a wrapper, `repeated` and `optional` stand for + and ?,
-    and a slot's constant is a hash of its text as long as all pages agree on it."""
+    a slot's constant is a hash of its text as long as all pages agree on it, and `pages` has the least TEMPLATE of the hashes of the
+    different pages that hold the slot."""
 
-    __slots__ = ("constant", "kids", "label", "optional", "repeated", "text")
+    __slots__ = ("constant", "kids", "label", "optional", "pages", "repeated", "text")
 
     def __init__(self, label: str, text: str = ""):
-        self.label, self.text, self.kids, self.repeated, self.optional = label, text, [], False, False
+        self.label, self.text, self.kids, self.repeated, self.optional, self.pages = label, text, [], False, False, ()
         self.constant = zlib.crc32(" ".join(text.split()).encode("utf-8", "surrogatepass")) if text else None
 
     def plain(self) -> list:
-        return [self.label, self.constant, int(self.repeated), int(self.optional), [k.plain() for k in self.kids]]
+        """All nodes, each before its kids, so that no depth of nesting is too much for JSON."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out.append([node.label, node.constant, int(node.repeated), int(node.optional), node.pages, len(node.kids)])
+            todo.extend(reversed(node.kids))
+        return out
 
     @classmethod
-    def of(cls, x: list) -> Node:
-        out = cls(x[0])
-        out.constant, out.repeated, out.optional, out.kids = x[1], bool(x[2]), bool(x[3]), [cls.of(k) for k in x[4]]
-        return out
+    def of(cls, nodes: list) -> Node:
+        top = cls("")
+        todo = [(top, 1)]
+        for label, constant, repeated, optional, pages, kids in nodes:
+            while todo[-1][1] == 0:
+                todo.pop()
+            above, left = todo[-1]
+            todo[-1] = (above, left - 1)
+            node = cls(label)
+            node.constant, node.repeated, node.optional, node.pages = constant, bool(repeated), bool(optional), tuple(pages)
+            above.kids.append(node)
+            todo.append((node, kids))
+        return top.kids[0]
 
 
 def parse(page: str | None) -> Node:
@@ -76,7 +97,7 @@ def parse(page: str | None) -> Node:
         closing = m["end"] == "/" or (m["torn"] and page[m.start() + 1] == "/")
         if m["raw"] or not tag:
             continue
-        names = sorted({w for g in NAMES.findall(m["rest"] or "") for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w}) if not closing else []
+        names = sorted({w for g in NAMES.findall(m["rest"] or "") for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w and not NUMBER.fullmatch(w)}) if not closing else []
         if tag in INLINE and not (set(names) & ASIDE_NAMES) and not (closing and any(n.label.split(".")[0] == tag for n in stack)):
             continue
         if closing:
@@ -123,19 +144,26 @@ def fold(kids: list[Node]) -> list[Node]:
     return out
 
 
+def common(x: list[str], y: list[str]) -> list[list[int]]:
+    """The length of the longest common subsequence of x[i:] and y[j:]."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    return best
+
+
 def merge(a: Node, b: Node) -> Node:
     """The least wrapper for both: kids are aligned by label; what one side lacks becomes optional, and texts that differ a slot."""
     out = Node(a.label)
     out.repeated, out.optional = a.repeated or b.repeated, a.optional or b.optional
     out.constant = a.constant if a.constant == b.constant else None
+    out.pages = a.pages if a.pages == b.pages else tuple(sorted({*a.pages, *b.pages})[:TEMPLATE])
     x, y = fold(a.kids), fold(b.kids)
     if [k.label for k in x] == [k.label for k in y]:
         out.kids = [merge(p, q) for p, q in zip(x, y, strict=True)]
         return out
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
+    best = common([k.label for k in x], [k.label for k in y])
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i].label == y[j].label:
@@ -162,28 +190,81 @@ def has_main(wrapper: Node) -> bool:
     return any(k.label.split(".")[0] in MAIN or has_main(k) for k in wrapper.kids if k.label and not _aside(k.label, False))
 
 
-def main_text(page: Node, wrapper: Node, pages: int) -> str:
-    """Texts in the wrapper's main region, blocks and white space as one space. Without a main element the region is the whole
-    page but what is aside, and slots that are the same on three pages or more of the host are the template's."""
-    limited, out = has_main(wrapper), []
+def varies(wrapper: Node) -> bool:
+    """Whether some text outside what is aside differs between pages, or within one."""
+    todo = [wrapper]
+    while todo:
+        for k in todo.pop().kids:
+            if k.label == "" and k.constant is None:
+                return True
+            if k.label and not _aside(k.label, False):
+                todo.append(k)
+    return False
+
 
-    def walk(node: Node, pattern: Node | None, inside: bool) -> None:
-        slots = {k.label: k for k in pattern.kids} if pattern else {}
-        for k in node.kids:
-            slot = slots.get(k.label)
+def matched(kids: list[Node], pattern: Node | None) -> list[Node | None]:
+    """The part of the wrapper that each kid stands at, by alignment of labels as in `merge`."""
+    if pattern is None:
+        return [None] * len(kids)
+    labels, group = [], []
+    for k in kids:
+        blank = k.label == "" and not k.text.strip()
+        if not blank and (not labels or labels[-1] != k.label):
+            labels.append(k.label)
+        group.append(None if blank else len(labels) - 1)
+    others = [k.label for k in pattern.kids]
+    at: list[int | None] = [None] * len(labels)
+    if labels == others:
+        at = list(range(len(labels)))
+    else:
+        best, i, j = common(labels, others), 0, 0
+        while i < len(labels) and j < len(others):
+            if labels[i] == others[j]:
+                at[i] = j
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return [None if g is None or at[g] is None else pattern.kids[at[g]] for g in group]
+
+
+def main_text(page: Node, wrapper: Node) -> str:
+    """Texts in the wrapper's main region, blocks and white space as one space. Without a main element the region is the whole
+    page but what is aside, and a text that is the same on all pages that have it, TEMPLATE different ones at least, is the
+    template's, provided that other texts of the host vary."""
+    limited = has_main(wrapper)
+    out, todo = [], [(page, None if limited or not varies(wrapper) else wrapper, not limited)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        (node, pattern, inside), own = item, []
+        for k, slot in zip(node.kids, matched(node.kids, pattern), strict=True):
             if k.label == "":
-                if inside and not (not limited and pages >= 3 and slot and slot.constant is not None):
-                    out.append(k.text)
+                if inside and not (slot and slot.constant == k.constant and len(slot.pages) >= TEMPLATE):
+                    own.append(k.text)
             elif not _aside(k.label, inside and limited):
-                block = k.label.split(".")[0] not in INLINE
-                out.append(" " if block else "")
-                walk(k, slot, inside or k.label.split(".")[0] in MAIN)
-                out.append(" " if block else "")
-
-    walk(page, wrapper, not limited)
+                space = "" if k.label.split(".")[0] in INLINE else " "
+                own += [space, (k, slot, inside or k.label.split(".")[0] in MAIN), space]
+        todo.extend(reversed(own))
     return " ".join("".join(out).split())
 
 
+def named(page: Node) -> Node:
+    """The page, its text slots with a hash of its whole text but what is aside; pages that read the same are one page."""
+    text = main_text(page, Node("page"))
+    pages, todo = (int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest()),), [page]
+    while todo:
+        for k in todo.pop().kids:
+            if k.label == "":
+                k.pages = pages
+            else:
+                todo.append(k)
+    return page
+
+
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER = str.maketrans(UPPER_LETTERS, LOWER_LETTERS)
 
@@ -193,23 +274,22 @@ def _host(url: str | None) -> str:
     return m[1].translate(LOWER) if m else ""
 
 
-PARTIAL = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64())])
+PARTIAL = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Aligns the pages of each host that a task sees, so that little is shuffled."""
-    held: dict[str, list] = {}
+    held: dict[str, Node] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([list(held), [json.dumps(w.plain()) for w, _ in held.values()], [n for _, n in held.values()]], PARTIAL.types, strict=True)], schema=PARTIAL)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([list(held), [json.dumps(w.plain()) for w in held.values()]], PARTIAL.types, strict=True)], schema=PARTIAL)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for url, page in zip(part["url"].to_pylist(), part["html"].to_pylist(), strict=True):
-                tree, host = parse(page), _host(url)
-                old = held.get(host)
-                held[host] = [merge(old[0], tree), old[1] + 1] if old else [merge(tree, tree), 1]
+                tree, host = named(parse(page)), _host(url)
+                held[host] = merge(held.get(host, tree), tree)
             if len(held) > 5000:
                 yield out()
                 held.clear()
@@ -218,15 +298,15 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table["wrapper"].to_pylist(), table["pages"].to_pylist(), strict=True))
-    wrapper = Node.of(json.loads(rows[0][0]))
-    for w, _ in rows[1:]:
+    rows = sorted(table["wrapper"].to_pylist())
+    wrapper = Node.of(json.loads(rows[0]))
+    for w in rows[1:]:
         wrapper = merge(wrapper, Node.of(json.loads(w)))
-    return pa.table([pa.array([table["host"][0].as_py()], pa.string()), pa.array([json.dumps(wrapper.plain())], pa.string()), pa.array([sum(n for _, n in rows)], pa.int64())], schema=PARTIAL)
+    return pa.table([pa.array([table["host"][0].as_py()], pa.string()), pa.array([json.dumps(wrapper.plain())], pa.string())], schema=PARTIAL)
 
 
 def wrappers(pages: DataFrame, keep: Written) -> DataFrame:
-    """host, wrapper, pages: one wrapper a host, from all its pages. Tasks align what they see; salted groups align the tasks' wrappers, and a host's
+    """host, wrapper: one wrapper a host, from all its pages. Tasks align what they see; salted groups align the tasks' wrappers, and a host's
     few remaining ones are aligned last."""
     schema = from_arrow_schema(PARTIAL)
     partial = keep(pages.select("url", "html").mapInArrow(_partial, schema), "partial")
@@ -259,13 +339,13 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
                     if r["wrapper"] not in known:
                         if len(known) > 2000:
                             known.clear()
-                        known[r["wrapper"]] = Node.of(json.loads(r["wrapper"] or '["page",null,0,0,[]]'))
-                    text = main_text(parse(r["html"]), known[r["wrapper"]], r["pages"] or 0)
+                        known[r["wrapper"]] = Node.of(json.loads(r["wrapper"] or '[["page",null,0,0,[],0]]'))
+                    text = main_text(parse(r["html"]), known[r["wrapper"]])
                     rows.append((r["page_id"], r["url"], text, len(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TEXTS.types, strict=True)], schema=TEXTS)
 
     other = F.broadcast(found) if size <= broadcast_bytes else found
-    joined = own.withColumn("host", host).join(other, "host", "left").select("page_id", "url", "html", "wrapper", "pages")
+    joined = own.withColumn("host", host).join(other, "host", "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(run, from_arrow_schema(TEXTS))
 
 
