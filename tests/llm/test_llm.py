@@ -331,6 +331,22 @@ def test_toxicity(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in toxicity.toxicity(docs, none).collect())
 
 
+def test_toxicity_reads_long_runs():
+    run = "".join(f"{i:03d}" for i in range(90))
+    for text in (run, run[:65], run[:71]):
+        words = toxicity.distinct_words(text)
+        assert all(any(text[i : i + n] in w for w in words) for n in (3, 4, 5) for i in range(len(text) - n + 1))
+    assert toxicity.distinct_words("x" * 64) == ["x" * 64]
+    rng = random.Random(9)
+    rude, clean = ["idiotic", "moronic", "scumbag", "笨蛋白痴"], [f"{a}{b}{c}" for a in ("ka", "lu", "me", "to") for b in ("rin", "sol", "vat") for c in ("a", "o", "ys")] + ["春天", "学校", "河流", "音乐", "早晨"]
+    texts = [" ".join(rng.choices(clean, k=60) + ([rng.choice(rude)] * 2 if i % 4 == 0 else [])) for i in range(600)]
+    model = toxicity.pack_model(*toxicity.train(texts, np.array([int(i % 4 == 0) for i in range(600)])))
+    for joint in ("-", "_", "/", "。", ""):
+        prefix = joint.join(rng.choices(clean, k=30))
+        scores = toxicity.score([prefix, *(joint.join([prefix, r, r, clean[0]]) for r in rude)], model)
+        assert scores[0] < 0.3 and all(scores[1:] >= 0.3), (joint, scores)
+
+
 PAGE = "<!doctype html><html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=x>menu</a></li></ul></nav><header>top</header><div class='ad banner'>buy</div><article><h1>{0} &amp; b</h1><p><b>in</b>line{1}<br>next<p>second <!-- gone --> part<aside>side</aside><form>ask</form><div class=comments>rude</div></article><footer>&copy; f</footer></body></html>"
 
 

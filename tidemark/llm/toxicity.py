@@ -4,6 +4,7 @@ telling words, and a linear softmax reads it. Vectors and softmax are trained to
 from __future__ import annotations
 
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,12 +21,24 @@ WARM, ROUNDS, BATCH, RATE = 2, 30, 256, 0.1
 #: A text's vector is the mean of this many of its words, the worst, so that a few words count in long texts too.
 TOP = 3
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
+#: A run of more characters than LONG without white space, as of languages that write none, is read as pieces of PIECE characters,
+#: each half over the next, and as what stands between inner punctuation.
+LONG, PIECE = 64, 16
+INNER = re.compile("[" + re.escape(STRIP + "/\\+=~^@`") + "\u2010-\u2027\u2039\u203a\u00ab\u00bb\u00b7\u3000-\u3003\u3008-\u3011\u30fb\uff01-\uff0f\uff1a-\uff20]+")
 _cache: dict[bytes, dict[str, float]] = {}
 
 
 def distinct_words(text: str | None) -> list[str]:
-    """The different words of a text, lower-cased, without punctuation at their ends; [""] if there are none."""
-    return sorted({w.strip(STRIP)[:64] for w in set((text or "").lower().split())} - {""}) or [""]
+    """The different words of a text, lower-cased, without punctuation at their ends; [""] if there are none. Of a run over LONG
+    characters all pieces count as words, so that none of its n-grams is left out."""
+    words: set[str] = set()
+    for w in {w.strip(STRIP) for w in set((text or "").lower().split())}:
+        if len(w) <= LONG:
+            words.add(w)
+        else:
+            words.update(w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
+            words.update(x for x in INNER.split(w) if len(x) <= LONG)
+    return sorted(words - {""}) or [""]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
