@@ -1,8 +1,13 @@
 """Each stage of the pipeline on the smallest tables."""
 
 import re
+from collections import Counter, defaultdict
 
-from corpus_pipeline import STAGES
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from corpus_pipeline import STAGES, mixing, packing
 from tidemark.llm.common import Written
 
 
@@ -28,3 +33,24 @@ def test_stages(spark):
             words = lambda rows: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows)
             assert 1.49 <= words(docs.collect()) / words(before.collect()) <= 1.5
     assert counts["toxicity"] >= 0.8 * 200 and counts["near_dedup"] < counts["toxicity"] and counts["packing"] > 0
+
+
+def test_packing_gives_the_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30).withColumn("text", F.expr("IF(doc_id % 7 = 0, repeat(text, 20), text)"))
+    mixed = Written(spark)(mixing(spark, docs, sf), "mixed")
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, got, places = Counter(), Counter(), defaultdict(list)
+    for r in mixed.collect():
+        ids = [*exact.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want.update((r.doc_id, len(ids), at, tuple(ids[at : at + 2048])) for at in range(0, len(ids), 2048))
+    for r in packing(spark, mixed, sf).collect():
+        got[r.doc_id, r.doc_tokens, r.start, tuple(r.ids)] += 1
+        places[r.sequence_id].append((r.offset, r.length, len(r.ids)))
+    assert got == want and max(got.values()) > 1 and max(k[2] for k in got) > 0
+    for own in places.values():
+        at = 0
+        for offset, length, ids in sorted(own):
+            assert offset == at and length == ids
+            at += length
+        assert at <= 2048
