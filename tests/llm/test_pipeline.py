@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpus_pipeline import STAGES, mixing, packing
+from corpus_pipeline import STAGES, mixing, near_dedup, packing
 from tidemark.llm.common import Written
 
 
@@ -54,3 +54,15 @@ def test_packing_gives_the_ids(spark):
             assert offset == at and length == ids
             at += length
         assert at <= 2048
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(None, text(1)), (None, text(2)), (None, near(2)), (None, text(3)), (5, near(3)), (6, text(4)), (6, text(4)), (7, text(5)), (7, text(6)), (8, near(6)), (4, near(5)), (None, ""), (9, ""), (9, None), (10, text(7))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    out = near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = {r.place for r in out.collect()}
+    assert out.count() == len(kept) and len(kept & {1, 2}) == len(kept & {5, 6}) == 1
+    assert kept - {1, 2, 5, 6} == {0, 4, 8, 10, 11, 12, 13, 14}
