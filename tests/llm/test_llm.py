@@ -388,6 +388,24 @@ def test_template_slots_are_counted_by_pages():
     assert main_texts([f"<div id=a{i}x>kept {i}</div>" for i in range(4)]) == [f"kept {i}" for i in range(4)]
 
 
+def test_parse_leaves_no_text_out():
+    for n in (150, 300, 20_000):
+        deep = "<article>" + "<div>" * n + "<div>in</div><nav>menu</nav>" + "<blockquote>" * n + "</div>after</article><footer>end</footer>"
+        assert main_texts([deep, deep]) == ["in after"] * 2
+        early = "<div><article>" + "<blockquote>" * n + "<div>in</div>after"
+        assert main_texts([early, early]) == ["in after"] * 2
+        leak = "<article>" + "<blockquote>" * n + "in<nav>menu</nav>"
+        assert main_texts([leak, leak]) == ["in"] * 2
+    assert main_texts(["<html><head><title>t</title><meta charset=x><body><p>text</p></body></html>"]) == ["text"]
+    assert main_texts(["<head><title>t</title><style>s</style>plain <b>text</b>"]) == ["plain text"]
+    assert main_texts(["<head><script>x</script><link rel=a><title>t</title></head><p>text"]) == ["text"]
+    for tag in ("svg", "iframe", "object"):
+        assert main_texts([f"<p>one</p><{tag} a='b'/><p>two</p><{tag}/><p>three</p><{tag} /><p>four</p>"]) == ["one two three four"]
+    assert main_texts(["<p>one</p><script src=/a/>var x;</script><svg><path d=''/>s</svg><p>two</p>"]) == ["one two"]
+    assert main_texts(["<body class='no-sidebar'><p>text</p></body>"]) == ["text"]
+    assert main_texts(["<body><main id=comments><article class='post comments-open'>text</article></main></body>"]) == ["text"]
+
+
 def brute_capacity(sizes, shards):
     low = max([-(-sum(sizes) // shards), *sizes])
     while True:

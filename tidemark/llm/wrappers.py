@@ -6,7 +6,9 @@ import hashlib
 import html as entities
 import json
 import re
+import sys
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +20,8 @@ from .common import Written, row_key
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template|object|head)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template|object)(?=[\s/>])(?:[^>]*[\s\"'])?/>"
+    r"|<(?P<held>script|style|textarea|title|noscript|iframe|svg|template|object)(?=[\s/>])[^>]*+>.*?(?:</(?P=held)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?(?P<torn>[a-z][^\s/>]*)[^>]*+>|<[!?/][^>]*+>",
     re.I | re.S,
@@ -29,6 +32,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An opening tag that ends an open element of its own kind among these, up to the list or table it stands in.
 ENDS_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 MAIN = ("article", "main")
+#: What a head may hold; anything else, text too, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A text is the template's if it is the same on this many different pages of a host at least.
 TEMPLATE = 3
 #: Parts of classes and ids that number a page or an element and name no kind of it.
@@ -39,6 +44,9 @@ ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe subscription menu nav navbar navigation sidebar footer header masthead complementary contentinfo search comment comments commentlist respond replies disqus related share sharing social breadcrumb breadcrumbs login signup pagination pager widget".split()
 )
 
+#: Elements whose classes and ids speak of the page, not of what is beside its text.
+WHOLE = frozenset(("html", "body", *MAIN))
+
 
 class Node:
     """An element (or, with the label "", a text slot) of a page or a wrapper. In a wrapper, `repeated` and `optional` stand for + and ?,
@@ -63,7 +71,7 @@ class Node:
     @classmethod
     def of(cls, nodes: list) -> Node:
         top = cls("")
-        todo = [(top, 1)]
+        todo, deepest = [(top, 1)], 1
         for label, constant, repeated, optional, pages, kids in nodes:
             while todo[-1][1] == 0:
                 todo.pop()
@@ -73,14 +81,27 @@ class Node:
             node.constant, node.repeated, node.optional, node.pages = constant, bool(repeated), bool(optional), tuple(pages)
             above.kids.append(node)
             todo.append((node, kids))
+            deepest = max(deepest, len(todo))
+        deep(deepest)
         return top.kids[0]
 
 
+def deep(levels: int) -> None:
+    """Lets `merge` and `fold` go down so many levels; calls from Python to Python lie on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * levels + 1000))
+
+
 def parse(page: str | None) -> Node:
-    """The tree of a page, with missing end tags supplied. Script, style, head and the like and comments leave nothing; of inline
-    elements those without a class, id or role leave only their text."""
+    """The tree of a page, with missing end tags supplied, at any depth. Script, style, the head and the like and comments leave
+    nothing; of inline elements those without a class, id or role leave only their text. A head without an end tag ends at the first
+    text or tag that it can't hold."""
     root = Node("page")
-    stack, at, page, depth = [root], 0, page or "", 200
+    stack, at, page, deepest, head = [root], 0, page or "", 1, False
+    open_at: dict[str, list[int]] = defaultdict(list)  # where in the stack the elements of each name stand
+
+    def close(i: int) -> None:
+        while len(stack) > i:
+            open_at[stack.pop().label.split(".")[0]].pop()
 
     def put(text: str) -> None:
         if text:
@@ -91,41 +112,44 @@ def parse(page: str | None) -> Node:
                 kids.append(Node("", text))
 
     for m in TOKEN.finditer(page):
-        put(entities.unescape(page[at : m.start()]))
-        at = m.end()
+        between, at = entities.unescape(page[at : m.start()]), m.end()
+        head = head and not between.strip()
+        put(between)
         tag = (m["tag"] or m["torn"] or "").lower()
         closing = m["end"] == "/" or (m["torn"] and page[m.start() + 1] == "/")
-        if m["raw"] or not tag:
+        if raw := m["raw"] or m["held"]:
+            head = head and raw.lower() in HEAD
+            continue
+        if not tag:
             continue
+        if tag == "head":
+            head = not closing
+            continue
+        if head and tag in HEAD:
+            continue
+        head = head and (closing or tag == "html")
         names = sorted({w for g in NAMES.findall(m["rest"] or "") for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w and not NUMBER.fullmatch(w)}) if not closing else []
-        if tag in INLINE and not (set(names) & ASIDE_NAMES) and not (closing and any(n.label.split(".")[0] == tag for n in stack)):
+        if tag in INLINE and not (set(names) & ASIDE_NAMES) and not (closing and open_at[tag]):
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].label.split(".")[0] == tag:
-                    del stack[i:]
-                    break
+            if open_at[tag]:
+                close(open_at[tag][-1])
             else:
                 put(" ")
             continue
         if tag not in INLINE and stack[-1].label.split(".")[0] == "p":
-            stack.pop()
-        if tag in ENDS_OWN:
-            for i in range(len(stack) - 1, 0, -1):
-                own = stack[i].label.split(".")[0]
-                if own in ENDS_OWN[tag]:
-                    break
-                if own == tag:
-                    del stack[i:]
-                    break
-        node = Node(".".join([tag, *names]))
+            close(len(stack) - 1)
+        if tag in ENDS_OWN and open_at[tag] and all(not open_at[x] or open_at[x][-1] < open_at[tag][-1] for x in ENDS_OWN[tag]):
+            close(open_at[tag][-1])
         if tag in VOID:
             put(" ")
-        elif len(stack) < depth:
-            stack[-1].kids.append(node)
-            stack.append(node)
-        else:
-            put(" ")
+            continue
+        node = Node(".".join([tag, *names]))
+        stack[-1].kids.append(node)
+        open_at[tag].append(len(stack))
+        stack.append(node)
+        deepest = max(deepest, len(stack))
+    deep(deepest)
     put(entities.unescape(page[at:]))
     return root
 
@@ -182,12 +206,19 @@ def merge(a: Node, b: Node) -> Node:
 
 def _aside(label: str, inside: bool) -> bool:
     tag, *names = label.split(".")
-    return tag in ASIDE or (tag == "header" and not inside) or bool(ASIDE_NAMES.intersection(names))
+    return tag in ASIDE or (tag == "header" and not inside) or (tag not in WHOLE and bool(ASIDE_NAMES.intersection(names)))
 
 
 def has_main(wrapper: Node) -> bool:
     """Whether an article or main element stands outside what is aside."""
-    return any(k.label.split(".")[0] in MAIN or has_main(k) for k in wrapper.kids if k.label and not _aside(k.label, False))
+    todo = [wrapper]
+    while todo:
+        for k in todo.pop().kids:
+            if k.label and not _aside(k.label, False):
+                if k.label.split(".")[0] in MAIN:
+                    return True
+                todo.append(k)
+    return False
 
 
 def varies(wrapper: Node) -> bool:
