@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, one of our own if all runs in
+    this process; a cluster without it is refused, as no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,19 +34,29 @@ class Written:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # Spark 4.1 zips the partitions of unlike branches otherwise
         self.base = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[str, str] = {}
+        self.tables: list[tuple[str, str, int]] = []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        path = self.paths[name] = f"{self.base}/{self.n}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((name, f"{self.base}/{self.n}-{name}", self.n))
+        df.write.option("compression", "zstd").parquet(self.tables[-1][1])
+        return self.spark.read.schema(df.schema).parquet(self.tables[-1][1])
+
+    def only(self, *names: str, since: int = 0) -> None:
+        """Deletes the tables written after the first `since`, but for the last of each of the names: those that a plan still to be run
+        reads."""
+        last = {name: table for table in self.tables for name in [table[0]] if name in names}
+        for table in [t for t in self.tables if last.get(t[0]) != t and t[2] > since]:
+            self._delete(table)
 
     def drop(self, name: str) -> None:
-        """Deletes a table that no pending plan reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+        """Deletes the last table of a name, which no plan still to be run reads."""
+        self._delete([t for t in self.tables if t[0] == name][-1])
+
+    def _delete(self, table: tuple[str, str, int]) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table[1])
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables.remove(table)
 
 
 def n_words(text: Column) -> Column:

@@ -15,6 +15,7 @@ def components(links: DataFrame, keep: Written) -> DataFrame:
     and goes on with the links between the ends. At least half the nodes of a component are gone after a round, so rounds
     and doublings are logarithmic. Hubs only ever meet minima that are taken before the shuffle, and joins that can split."""
     both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    since = keep.n
     edges, labels = keep(both, "edges"), None
     while not edges.isEmpty():
         hooks = keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("top")), "hooks")
@@ -32,6 +33,6 @@ def components(links: DataFrame, keep: Written) -> DataFrame:
             labels = keep(labels.join(up, "top", "left").select("node", F.coalesce("next", "top").alias("top")), "labels")
         a, b = hooks.toDF("a", "ta"), hooks.toDF("b", "tb")
         edges = keep(edges.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "edges")
-    if labels is None:
-        labels = edges.toDF("node", "top")
-    return labels.toDF("node", "component")
+    found = keep(edges.toDF("node", "top") if labels is None else labels, "components").toDF("node", "component")
+    keep.only("components", since=since)
+    return found

@@ -18,16 +18,18 @@ from .hashing import as_bytes, mix, run_hashes, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Two collections of HALVES half keys, each of DEPTH minhashes. A table for each pair of halves makes HALVES**2 tables out of
-#: 2 * HALVES * DEPTH minhashes. At similarity 0.75 a pair shares no table with probability 1e-4, at 0.8 with 1e-5.
-HALVES, DEPTH = 12, 2
+#: 2 * HALVES * DEPTH minhashes. At similarity 0.75 a pair shares no table with probability 3e-4, at 0.8 with 2e-5.
+HALVES, DEPTH = 16, 3
 #: Further stars in buckets that the first star has not joined.
-STARS = 6
+STARS = 3
+#: Sizes of sets that differ by less than this factor share a band.
+BAND = 1.1
 _rng = np.random.default_rng(20240301)
 MULTIPLIERS = _rng.integers(1, 1 << 63, 2 * HALVES * DEPTH, dtype="uint64") * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(1, 1 << 63, 2 * HALVES * DEPTH, dtype="uint64")
 LOWER = np.arange(256, dtype="uint8")
 LOWER[ord("A") : ord("Z") + 1] += 32
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("halves", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("halves", pa.list_(pa.int64())), ("body", pa.int64())])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -61,7 +63,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(t) for t in part["text"].to_pylist()]
             full = [s for s in sets if len(s)]
             keys = iter(half_keys(full).tolist() if full else [])
-            columns = [part["doc_id"], [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets], [next(keys) if len(s) else None for s in sets]]
+            columns = [part["doc_id"], [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets], [next(keys) if len(s) else None for s in sets], part["body"]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, SKETCH.types, strict=True)], schema=SKETCH)
 
 
@@ -87,10 +89,14 @@ def _close_in_size(x: Column, y: Column) -> Column:
     return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
+def _band(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
 def _torn(met: DataFrame, links: DataFrame, keep: Written) -> DataFrame:
-    """(node, bucket, component) of the buckets that hold several components."""
+    """(node, n_shingles, bucket, component) of the buckets that hold several components."""
     groups = components(links, keep)
-    placed = met.select("node", "bucket").join(groups, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
+    placed = met.select("node", "n_shingles", "bucket").join(groups, "node", "left").select("node", "n_shingles", "bucket", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     return keep(placed.join(torn, "bucket", "left_semi"), "torn")
 
@@ -101,61 +107,72 @@ def _stars(met: DataFrame, links: DataFrame, sets: DataFrame, keep: Written) ->
     torn = _torn(met, links, keep)
     if torn.isEmpty():
         return links, torn
-    hubs = torn.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", "component")).alias(f"h{i}") for i in range(STARS)])
-    hubs = hubs.select("bucket", F.explode(F.array(*[f"h{i}" for i in range(STARS)])).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.component").alias("other")).distinct()
-    pairs = torn.join(hubs, "bucket").where("component <> other").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    hubs = torn.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", "component", "n_shingles")).alias(f"h{i}") for i in range(STARS)])
+    hubs = hubs.select("bucket", F.explode(F.array(*[f"h{i}" for i in range(STARS)])).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.component").alias("other"), F.col("h.n_shingles").alias("size")).distinct()
+    pairs = torn.join(hubs, "bucket").where((F.col("component") != F.col("other")) & _close_in_size(F.col("size"), F.col("n_shingles")))
+    pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = keep(links.unionByName(_confirmed(pairs, sets)), "links")
     return links, _torn(met, links, keep)
 
 
+def prefix_pairs(rest: DataFrame, sets: DataFrame, keep: Written) -> DataFrame:
+    """All pairs (a, b) of rest(node, component) of different components that can be similar enough, found without probability.
+
+    Of each set's hashes, ordered from the rarest, two similar sets of n and m hashes share one at places i and j such that what
+    lies from there on suffices in both: PERCENT * (n + m) <= (100 + PERCENT) * (n - i + 1), and the like for m and j. A hash's place
+    so bounds the size of the other set, and most hashes allow none. Those that do meet in cells of a hash and a band of
+    sizes: each entry stands in the cell of its own band if it serves a partner of its size or more, and in the cells of all bands of
+    the smaller partners that it serves. Two sets that share a hash and also the shared hash before it have met there already,
+    so a passage of many hashes pairs its sets once and not at each of them."""
+    elements = rest.join(sets, "node").select("node", "component", F.size("own").alias("n"), F.explode("own").alias("x"))
+    elements = keep(elements, "elements")
+    often = elements.groupBy("x").agg(F.count("*").alias("often"))
+    order = W.partitionBy("node").orderBy("often", "x")
+    ranked = elements.join(often, "x").select("x", "node", "component", "n", "often", F.row_number().over(order).alias("i"), F.lag("x").over(order).alias("before"))
+    most = F.floor((100 + PERCENT) * (F.col("n") - F.col("i") + 1) / PERCENT) - F.col("n")
+    prefix = ranked.where("often > 1").withColumn("most", most.cast("int")).where(100 * F.col("most") >= PERCENT * F.col("n"))
+    prefix = keep(prefix.drop("often", "i"), "prefix")
+    useful = prefix.groupBy("x").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.count_if(F.col("before").isNull()).alias("first"))
+    prefix = prefix.join(useful.where("c1 < c2 AND (first > 0 OR b1 < b2)").select("x"), "x", "left_semi")
+    small = prefix.where("most >= n").select("x", _band(F.col("n")).alias("band"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("before").alias("pa"))
+    bands = F.sequence(_band(F.ceil(PERCENT * F.col("n") / 100)), _band(F.least("n", "most")))
+    large = prefix.select("x", F.explode(bands).alias("band"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("before").alias("pb"))
+    fits = F.expr(f"ca <> cb AND na <= nb AND nb <= ma AND na <= mb AND 100 * na >= {PERCENT} * nb AND COALESCE(pa <> pb, true)")
+    return large.join(small, ["x", "band"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(nodes: DataFrame, docs: DataFrame, keep: Written) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of nodes(node, n_shingles, first_id, halves) that are similar enough and
-    share a table.
+    """Links (a, b) whose components are those of all pairs of nodes(node, n_shingles, first_id, body, halves) that are similar enough
+    and share a table.
 
     A half key that one node alone has makes no table worth keeping, so nodes without a shared half key on both sides are
     done. In each table's bucket every node is held against the bucket's smallest node only, which is linear in
     its size; buckets that stay in several components get a few more such stars. One that is still in several may hide
-    links between its other nodes; all nodes of such buckets go through an exact prefix join, which holds only nodes of different
-    components against each other: of each set's hashes, ordered from the rarest, two similar sets share one of the first
-    n - ceil(0.75 n) + 1. Two sets that share a hash and also the shared hash before it have met there already, so a passage of many
-    hashes pairs its sets once and not at each of them."""
+    links between its other nodes; all nodes of such buckets go through `prefix_pairs`."""
     halves = nodes.select("node", F.posexplode("halves").alias("place", "key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = halves.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     halves = keep(halves.join(shared, "key", "left_semi"), "halves")
     left, right = (halves.where(f"place {sign} {HALVES}").select("node", F.col("key").alias(k)) for sign, k in (("<", "l"), (">=", "r")))
-    tables = left.join(right, "node").select("node", F.xxhash64("l", "r").alias("bucket"))
-    tables = keep(tables, "tables")
-    buckets = tables.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("bucket", "first")
-    met = keep(tables.join(buckets, "bucket"), "met")
+    tables = keep(left.join(right, "node").select("node", F.xxhash64("l", "r").alias("bucket")), "tables")
+    keep.drop("halves")
+    buckets = tables.groupBy("bucket").agg(F.count("*").alias("k"), F.min("node").alias("first")).where("k > 1").select("bucket", "first")
+    met = keep(tables.join(buckets, "bucket").join(nodes.select("node", "n_shingles"), "node"), "met")
     keep.drop("tables")
-    wanted = met.select("node").distinct().join(nodes.select("node", "first_id", "n_shingles"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
-    texts = wanted.join(texts, wanted["first_id"].eqNullSafe(texts["first_id"])).select("node", "text")
+    wanted = met.select("node").distinct().join(nodes.select("node", "first_id", "body"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
+    texts = wanted.join(texts, wanted["first_id"].eqNullSafe(texts["id"]) & (wanted["body"] == texts["body"])).select("node", "text")
     sets = texts.mapInArrow(_sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))]))
     sets = keep(sets.dropDuplicates(["node"]), "sets")
-    pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = nodes.select(F.col("node").alias("first"), F.col("n_shingles").alias("size"))
+    pairs = met.where("node <> first").select("first", "node", "n_shingles").distinct().join(sizes, "first")
+    pairs = pairs.where(_close_in_size(F.col("size"), F.col("n_shingles"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
     links = keep(_confirmed(pairs, sets), "links")
 
     links, torn = _stars(met, links, sets, keep)
     rest = keep(torn.select("node", "component").distinct(), "rest")
-    if rest.isEmpty():
-        return links
-    elements = rest.join(sets, "node").select("node", "component", F.size("own").alias("n"), F.explode("own").alias("x"))
-    elements = keep(elements, "elements")
-    often = elements.groupBy("x").agg(F.count("*").alias("often"))
-    ranked = elements.join(often, "x").withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("often", "x")))
-    prefix = ranked.where(f"often > 1 AND rank <= n - CEIL({PERCENT} * n / 100) + 1").select("x", "node", "component", "n", F.lag("x").over(W.partitionBy("node").orderBy("often", "x")).alias("before"))
-    prefix = keep(prefix, "prefix")
-    useful = prefix.groupBy("x").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.count_if(F.col("before").isNull()).alias("first"))
-    prefix = prefix.join(useful.where("c1 < c2 AND (first > 0 OR b1 < b2)").select("x"), "x", "left_semi")
-    apart = prefix.select("x", "component", "before").distinct()
-    meets = apart.join(apart.toDF("x", "other", "other_before"), "x").where("component < other AND COALESCE(before <> other_before, true)")
-    one = prefix.select("x", F.col("node").alias("a"), "component", F.col("before").alias("p"), F.col("n").alias("na"))
-    two = prefix.select("x", F.col("node").alias("b"), F.col("component").alias("other"), F.col("before").alias("q"), F.col("n").alias("nb"))
-    more = meets.alias("m").join(one.alias("o"), F.expr("m.x = o.x AND m.component = o.component AND m.before <=> o.p"))
-    more = more.join(two.alias("t"), F.expr("m.x = t.x AND m.other = t.other AND m.other_before <=> t.q"))
-    more = more.where(_close_in_size(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    return links.unionByName(_confirmed(keep(more, "more"), sets))
+    if not rest.isEmpty():
+        links = links.unionByName(_confirmed(keep(prefix_pairs(rest, sets, keep), "more"), sets))
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -167,13 +184,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id. An empty table gives an empty result; other columns are ignored."""
     keep = Written(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = keep(own.mapInArrow(_sketch, from_arrow_schema(SKETCH)), "sketch")
-    nodes = keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")), "nodes")
+    rows = keep(own.withColumn("body", F.xxhash64("text")).mapInArrow(_sketch, from_arrow_schema(SKETCH)), "sketch")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).alias("least")
+    nodes = keep(rows.where("node IS NOT NULL").groupBy("node").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")).select("node", "least.body", F.col("least.doc_id").alias("first_id"), "n_shingles", "halves"), "nodes")
     groups = components(near_links(nodes, own, keep), keep)
     named = nodes.select("node", "first_id").join(groups, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     named = keep(named, "named")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = named.join(names, "component").select("node", "component_id")
+    names = keep(named.join(names, "component").select("node", "component_id"), "names")
+    keep.only("sketch", "names")
     out = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
