@@ -21,7 +21,7 @@ WORDS, PERCENT = 5, 75
 #: 2 * HALVES * DEPTH minhashes. At similarity 0.75 a pair shares no table with probability 3e-4, at 0.8 with 2e-5.
 HALVES, DEPTH = 16, 3
 #: Further stars in buckets that the first star has not joined.
-STARS = 3
+STARS = 1
 #: Sizes of sets that differ by less than this factor share a band.
 BAND = 1.1
 _rng = np.random.default_rng(20240301)
