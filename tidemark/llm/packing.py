@@ -8,12 +8,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import Written, parts, row_key
+from .common import Written, parts
 
 LENGTH = 2048
 END_ID = 1
@@ -78,42 +79,70 @@ def encoder(tokenizer: str, ranks: str | None):
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Ids as compressed bytes, low halves before high ones; about a third of four bytes each."""
+    return zstandard.compress(ids.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), 3)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u2").reshape(2, -1).T.copy().view("<u4").ravel().astype("int32")
+
+
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Each document's ids and the end id, cut every `length` ids. A null text counts as empty and gives the end id alone."""
-    schema = PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECES
+    """Each document's ids and the end id, cut every `length` ids, with _copy, which names the row of docs, and with_ids the ids as
+    `squeezed` bytes. A null text counts as empty and gives the end id alone."""
+    schema = PIECES.append(pa.field("_copy", pa.int64()))
+    schema = schema.append(pa.field("_ids", pa.binary())) if with_ids else schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # so that a few very long texts are the most that is held
                 rows = []
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                for doc_id, text, copy in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     ids = np.append(np.asarray(encode(text or ""), "<u4"), np.uint32(end_id))
                     for start in range(0, len(ids), length):
                         own = ids[start : start + length].astype("<u4")
-                        rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids)) + ((own.astype("int32"),) if with_ids else ()))
+                        rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids), copy) + ((squeezed(own),) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, from_arrow_schema(schema))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id())
+    return own.mapInArrow(cut, from_arrow_schema(schema))
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID, group: int = 4096, with_ids: bool = False) -> DataFrame:
-    """One row per piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids.
 
-    Pieces fall into groups of about `group` at random (a hash); each group is packed alone, so a task holds one group's
-    lengths at a time. Sequence ids are unique over groups but not gapless. Full-length pieces fill a sequence each.
-    Null texts are empty; null ids and repeated rows stay rows of their own; an empty table gives an empty
-    result. Other columns of docs are ignored. with_ids adds the ids themselves."""
+    Documents fall into random groups of about `group` (a hash); each group is packed alone, so a task holds the last pieces of
+    one group's documents at a time. Pieces of the full length, which come first in any first-fit decreasing and fill a sequence
+    each, take no part in it and are not shuffled, so that a document of any length adds one piece to its group. Sequence ids are unique but
+    not gapless. Null texts are empty; null ids and repeated rows stay rows of their own; an empty table gives an
+    empty result. Other columns of docs are ignored."""
     keep = Written(docs.sparkSession)
     cut = keep(pieces(docs, tokenizer, ranks, length, end_id, with_ids), "pieces")
-    groups = parts(cut.count(), group)
-    dealt = cut.withColumn("_group", F.pmod(row_key(F.col("doc_id"), F.col("start")), F.lit(groups)).cast("int"))
+    full, rest = cut.where(F.col("length") == length), cut.where(F.col("length") < length)
+    groups = parts(rest.count(), group)
+    dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_copy"), F.lit(groups)).cast("int"))
 
     def pack_group(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("_copy", "ascending")])
         bins, offsets = first_fit_decreasing(table["length"].to_numpy(), length)
         first = table["_group"][0].as_py() << 32
         return table.drop_columns("_group").append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
-    out = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.groupBy("_group").applyInArrow(pack_group, out)
+    placed = dealt.groupBy("_group").applyInArrow(pack_group, T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    alone = full.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    out = placed.unionByName(alone).drop("_copy")
+    if not with_ids:
+        return out
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = pa.array([unsqueezed(x) for x in part["_ids"].to_pylist()], pa.list_(pa.int32()))
+                place = part.schema.get_field_index("_ids")
+                yield part.set_column(place, "ids", ids)
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "_ids" else f for f in out.schema.fields]
+    return out.mapInArrow(spell, T.StructType(fields))
