@@ -69,6 +69,14 @@ def parts(n_rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(n_rows / each))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(*cols: Column) -> Column:
     """A long that spreads rows evenly, those with equal values too. Use it on written tables only, whose partitions are fixed."""
     return F.xxhash64(*cols, F.monotonically_increasing_id())
