@@ -23,11 +23,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the smallest id; a row without an id stays only if no row of its group has one, and of rows that
     are level one stays. Texts without words are in no group and all stay."""
-    rows = Written(spark)(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    keep = Written(spark)
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), keep).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    first = keep(first.select("first._row"), "first")
+    keep.only("rows", "first")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, mixing, packing, quality, sharding, simhash, suffixes, toxicity, urls, wrappers
 from tidemark.llm.components import components
@@ -241,7 +242,11 @@ def test_mix(docs, rows, empty):
         own = [r for r in out if r.source_size == total[n] and abs(r.target - target[n]) < 1e-6]
         assert own and sum(r.taken for r in own) == int(target[n] + 1e-9)
     assert all(0 <= r.taken <= 2 * r["size"] for r in out)
+    again = mixing.mix(docs.repartition(7, "n_chars").sortWithinPartitions(F.desc("doc_id"), "text"), rows_each=10).collect()
+    assert Counter(map(str, again)) == Counter(map(str, out))
     assert mixing.mix(empty).count() == 0
+    clashing = docs.select("doc_id", "text", "source", *(F.lit(7).alias(c) for c in ("_id", "_nth", "_taken", "_SIZE", "_turn", "taken", "size", "target")))
+    assert mixing.mixed_rows(clashing).columns == clashing.columns and mixing.mixed_rows(clashing).where("_id <> 7 OR taken <> 7").count() == 0
     mixed = mixing.mixed_rows(docs).collect()
     assert sum(size(r.text) for r in mixed) == sum(int(target[n] + 1e-9) for n in names)
 
@@ -290,17 +295,66 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("rows_sorted", [3000, 2])
-def test_repeated_bytes(docs, rows, empty, rows_sorted, monkeypatch):
-    monkeypatch.setattr(suffixes, "SORT_ROWS", rows_sorted)
+@pytest.mark.parametrize("block_rows", [3000, 2])
+def test_repeated_bytes(docs, rows, empty, block_rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_ROWS", block_rows)
     want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows]), strict=True))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(docs).collect()) == want
     assert suffixes.repeated_bytes(empty).count() == 0
 
 
-@pytest.mark.parametrize("rows_sorted", [3000, 2])
-def test_without_repeats_keeps_the_first(spark, rows, rows_sorted, monkeypatch):
-    monkeypatch.setattr(suffixes, "SORT_ROWS", rows_sorted)
+def test_longest_previous_factors():
+    rng = random.Random(12)
+    for alphabet, n in ((b"ab", 900), (b"a", 700), (b"abcdefgh", 500)):
+        piece = bytes(rng.choices(alphabet, k=250))
+        data = bytes(rng.choices(alphabet, k=n)) + piece + bytes(rng.choices(alphabet, k=40)) + piece + bytes(rng.choices(alphabet, k=220))
+        starts = np.array(sorted(rng.sample(range(len(data) - 199), 150)))
+        order, prefixes = suffixes.suffix_array(np.frombuffer(data, "uint8"), starts)
+        assert [(data[starts[i] :][:200], i) for i in order] == sorted((data[s:][:200], i) for i, s in enumerate(starts))
+        common = lambda a, b: next((k for k in range(200) if data[a + k] != data[b + k]), 200)
+        assert prefixes.tolist() == [0] + [common(starts[a], starts[b]) for a, b in zip(order, order[1:])]
+        want = [max((common(starts[i], starts[j]) for j in range(i)), default=0) for i in order]
+        assert suffixes.previous_factors(order, prefixes).tolist() == want
+
+
+def test_anchors_do_not_depend_on_the_seam(monkeypatch):
+    rng = random.Random(14)
+    data = np.frombuffer(bytes(rng.choices(b"abc ", k=9000)) + b"ab" * 900, "uint8")
+
+    def of_windows():
+        pos, n, anchor, _ = suffixes.anchored(data)
+        return np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(anchor, n)
+
+    want = of_windows()
+    monkeypatch.setattr(suffixes, "POSITION_BITS", 11)
+    at, anchor = of_windows()
+    assert at.tolist() == want[0].tolist() == list(range(len(data) - 199)) and (anchor == want[1]).all()
+
+
+def test_repeats_of_long_texts_and_repeated_rows(spark, monkeypatch):
+    """Texts over the seam of pieces, a row repeated often, and a passage in many texts."""
+    rng = random.Random(13)
+    words = [f"{rng.randrange(10**6)}" for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = text(60)
+    long = text(1500)
+    rows = [(1, long + passage + long[3000:5000]), (2, text(50) + long[1800:2300] + text(30)), (3, "ab" * 3000)]
+    rows += [(10 + i, text(20) + passage + text(20)) for i in range(40)] + [(99, text(15) + passage + "tail")] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([r[1].encode() for r in rows]), strict=True))
+    for block_rows in (3000, 3):
+        monkeypatch.setattr(suffixes, "BLOCK_ROWS", block_rows)
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(docs).collect()) == want
+        kept = {r.doc_id: r.text for r in suffixes.without_repeats(docs).collect()}
+        assert kept[99] == rows[-1][1].replace(passage, "") or len(kept[99]) < len(rows[-1][1])
+        assert sum(passage in t for t in kept.values()) == 1 and passage in kept[1]
+    again = spark.createDataFrame([r for r in rows if r[0] == 99], "doc_id long, text string")
+    assert {r.text for r in suffixes.without_repeats(again).collect()} == {rows[-1][1]}
+
+
+@pytest.mark.parametrize("block_rows", [3000, 2])
+def test_without_repeats_keeps_the_first(spark, rows, block_rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_ROWS", block_rows)
     own = [r for i, r in enumerate(rows) if r[0] is not None and r not in rows[:i]]
     out = suffixes.without_repeats(spark.createDataFrame(own, SCHEMA).repartition(3))
     assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
@@ -434,8 +488,6 @@ def test_shard(spark, docs, rows, empty):
         slots[r.shard].append(r.slot)
         groups[r.text_crc32, r["size"]].add(r.shard)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for v in groups.values())
-    from pyspark.sql import functions as F
-
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size")).groupBy("key").agg(F.sum("size").alias("size"))
     order = [r["size"] for r in keyed.orderBy("key").collect()]
     loads = Counter()

@@ -175,14 +175,15 @@ def near_links(nodes: DataFrame, docs: DataFrame, keep: Written) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: Written | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text).
 
     Documents with equal sets are one node, named by a 64-bit hash of the set, and its copies are never held against each other;
     links lie between nodes. Null and blank texts have an empty set, are linked with nothing and kept. Repeated rows of an id
     share a component and are all kept if one is. A row with a null id joins its component, is kept only if no row of it has an
-    id. An empty table gives an empty result; other columns are ignored."""
-    keep = Written(docs.sparkSession)
+    id. An empty table gives an empty result; other columns are ignored. The result reads the tables "sketch" and "names" of keep."""
+    keep = keep or Written(docs.sparkSession)
+    since = keep.n
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = keep(own.withColumn("body", F.xxhash64("text")).mapInArrow(_sketch, from_arrow_schema(SKETCH)), "sketch")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).alias("least")
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = keep(named, "named")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = keep(named.join(names, "component").select("node", "component_id"), "names")
-    keep.only("sketch", "names")
+    keep.only("sketch", "names", since=since)
     out = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

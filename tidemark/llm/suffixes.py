@@ -1,4 +1,4 @@
-"""Repeated passages of whole texts by suffix order and longest-previous-factor tests."""
+"""Repeated passages of whole texts by suffix arrays, their common prefixes and longest previous factors."""
 
 from __future__ import annotations
 
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import Written
+from .common import Written, unused
 from .hashing import BASE, BYTE_CODES, as_bytes, mix, prefix_sums, span_hashes
 
 LENGTH, GRAM = 200, 32
 #: Positions of one piece of a text fit in this many bits below a 43-bit hash.
 POSITION_BITS = 21
-#: Bytes that one suffix sort holds, and different contents of a key up to which it is sorted; larger keys are counted by windows.
-SORT_BYTES, SORT_ROWS = 1 << 20, 3000
+#: Suffixes that one sort holds, about, and different contents in a block; a key with more is dealt to several blocks.
+SORT_STARTS, BLOCK_ROWS = 1 << 17, 3000
 U = np.uint64
 
 
@@ -74,117 +74,111 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids if i == 1 else pa.array(np.concatenate(c), t) for i, (c, t) in enumerate(zip(columns, RUNS.types, strict=True))], schema=RUNS)
 
 
-def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes by their first `length` bytes (8 or more; data must have as many bytes of padding at its end),
-    by prefix doubling, and their ranks; equal ranks mean equal first bytes."""
-    n = len(data) - length
-    keys = np.zeros(len(data) - 7, "uint64")
-    for i in range(8):
-        keys = keys << U(8) | data[i : len(data) - 7 + i].astype("uint64")
-    ranks, width = keys, 8
-    while True:
-        order = np.argsort(ranks, kind="stable")
-        sorted_ = ranks[order]
-        dense = np.empty(len(ranks), "int64")
-        dense[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1]))
-        if width >= length:
-            keep = order < n
-            return order[keep], dense[:n]
-        step = min(width, length - width)
-        ranks = dense[: len(dense) - step] * np.int64(len(dense)) + dense[step:]
-        width += step
-
-
-def factor_flags(ranks: np.ndarray, order: np.ndarray, place: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the wanted suffixes: whether their longest factor that starts elsewhere, and their longest previous factor, reach the length
-    that the ranks compare. In suffix order the longest match of a suffix is at a neighbour, and the longest one that
-    starts before it (by place) is at the nearest entry before or after it with a smaller place. Among entries of equal
-    rank, sorted by place, that previous smaller entry is the one before."""
-    order = order[wanted[order]]
-    order = order[np.lexsort((place[order], ranks[order]))]
-    same = np.append(ranks[order][1:] == ranks[order][:-1], False)
-    before = np.append(False, same[:-1])
-    elsewhere, previous = np.zeros(len(ranks), bool), np.zeros(len(ranks), bool)
-    elsewhere[order] = same | before
-    previous[order] = before
+def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of data at starts by their first LENGTH bytes, equal ones as given, and how many bytes each has in
+    common with the one before it in that order (LENGTH at most; 0 for the first)."""
+    own = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts]
+    order = np.argsort(np.ascontiguousarray(own).view(f"S{LENGTH}").ravel(), kind="stable")
+    prefixes = np.zeros(len(order), "int64")
+    for at in range(1, len(order), 1 << 15):
+        upto = min(len(order), at + (1 << 15))
+        differ = own[order[at:upto]] != own[order[at - 1 : upto - 1]]
+        prefixes[at:upto] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+    return order, prefixes
+
+
+def _to_smaller(place: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """For each entry in suffix order, how many bytes it has in common with the nearest entry before it of a smaller place (0 if there
+    is none). Entries that are not smaller are skipped together with all that these have skipped, so few rounds are needed."""
+    before, common = np.arange(len(place)) - 1, prefixes.copy()
+    open_ = np.flatnonzero(before >= 0)
+    open_ = open_[place[before[open_]] > place[open_]]
+    while len(open_):
+        over = before[open_]
+        upto, least = before[over], np.minimum(common[open_], common[over])
+        before[open_], common[open_] = upto, least
+        open_ = open_[upto >= 0]
+        open_ = open_[place[before[open_]] > place[open_]]
+    return np.where(before >= 0, common, 0)
+
+
+def previous_factors(place: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array in suffix order: how many bytes a suffix has in common with one of a smaller place, at most.
+    The best such suffix is the nearest one with a smaller place before or after it in suffix order."""
+    after = _to_smaller(place[::-1], np.append(0, prefixes[:0:-1]))[::-1] if len(place) else prefixes
+    return np.maximum(_to_smaller(place, prefixes), after)
+
+
+def factor_flags(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the suffixes at ascending starts: whether their first LENGTH bytes start elsewhere among these, and whether at a smaller start."""
+    order, prefixes = suffix_array(data, starts)
+    elsewhere, previous = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    elsewhere[order] = np.maximum(prefixes, np.append(prefixes[1:], 0)) >= LENGTH
+    previous[order] = previous_factors(order, prefixes) >= LENGTH
     return elsewhere, previous
 
 
-RANGES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
-
-
-def _flag_ranges(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype("int8"), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _sorted_ranges(rows: list[dict], first_stays: bool) -> list[tuple[int, int, int]]:
-    """Ranges of starts that repeat, for runs of whole keys, whose bytes are sorted together."""
-    rows = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc"], r["pos"]))
-    ends = np.cumsum([len(r["bytes"]) for r in rows])
-    data = np.frombuffer(b"".join(r["bytes"] for r in rows) + bytes(LENGTH), "uint8")
-    order, ranks = suffix_order(data, LENGTH)
-    starts = np.concatenate([[0], ends[:-1]])
-    wanted = np.zeros(len(ranks), bool)
-    for s, r in zip(starts, rows, strict=True):
-        wanted[s : s + r["n"]] = True
-    elsewhere, previous = factor_flags(ranks, order, np.arange(len(ranks)), wanted)
-    flags = previous if first_stays else elsewhere
-    return [(r["doc"], r["pos"] + a, r["pos"] + b) for s, r in zip(starts, rows, strict=True) for a, b in _flag_ranges(flags[s : s + r["n"]])]
-
-
-def _sorter(first_stays: bool):
+FOUND = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.int64()), ("bytes", pa.binary())])
+
+
+def _found(rows: list[dict], first_stays: bool, go_on: bool) -> pa.RecordBatch:
+    """Ranges of starts that repeat, for runs of whole keys, whose suffixes are sorted together; a run that comes twice, from a repeated
+    row, counts once. go_on: and of blocks of a key, each string that is the first of its kind there, with its bytes and a
+    key that equal strings share."""
+    rows = list({(r["doc"], r["pos"]): r for r in rows}.values())
+    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc"], r["pos"]))
+    n = np.array([r["n"] for r in rows])
+    data = np.frombuffer(b"".join(r["bytes"] for r in rows), "uint8")
+    own = np.repeat(np.arange(len(rows)), n)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inner
+    elsewhere, previous = factor_flags(data, starts)
+    doc, low = (np.array([r[k] for r in rows], "int64")[own] + x for k, x in (("doc", 0), ("pos", inner)))
+    ids = pa.array([r["doc_id"] for r in rows], pa.int64())
+    hit = np.flatnonzero(previous if first_stays else elsewhere)
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)
+    first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
+    none = pa.nulls(len(first), pa.int64())
+    out = [pa.RecordBatch.from_arrays([pa.array(doc[first]), none, pa.array(low[first]), pa.array(low[last] + 1), none, pa.nulls(len(first), pa.binary())], schema=FOUND)]
+    if go_on:
+        left = np.flatnonzero(~previous & np.array([r["blocks"] > 1 for r in rows])[own])
+        keys = pa.array(span_hashes(prefix_sums(data), starts[left], starts[left] + LENGTH).view("int64"))
+        texts = pa.array([data[i : i + LENGTH].tobytes() for i in starts[left]], pa.binary())
+        out.append(pa.RecordBatch.from_arrays([pa.array(doc[left]), ids.take(pa.array(own[left])), pa.array(low[left]), pa.nulls(len(left), pa.int64()), keys, texts], schema=FOUND))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
+
+
+def _sorter(keys: tuple[str, ...], first_stays: bool, go_on: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            found = _sorted_ranges(held, first_stays)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=RANGES.names)
-
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 for r in batch.slice(at, 1024).to_pylist():
-                    if held and size > SORT_BYTES and held[-1]["anchor"] != r["anchor"]:
-                        yield out()
+                    if held and size > SORT_STARTS and any(held[-1][k] != r[k] for k in keys):
+                        yield _found(held, first_stays, go_on)
                         held, size = [], 0
                     held.append(r)
-                    size += len(r["bytes"])
+                    size += r["n"]
         if held:
-            yield out()
+            yield _found(held, first_stays, go_on)
 
     return run
 
 
-WINDOWS = pa.schema([("window", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int64())])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = []
-            for r in batch.slice(at, 256).to_pylist():
-                i = np.arange(r["n"])
-                own = span_hashes(prefix_sums(np.frombuffer(r["bytes"], "uint8")), i, i + LENGTH) ^ mix(np.array([r["anchor"]]).view("uint64"))
-                rows += zip(own.view("int64").tolist(), [r["doc"]] * r["n"], [r["doc_id"]] * r["n"], (r["pos"] + i).tolist(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=WINDOWS)
-
-
-CUTS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "doc_id", "pos")] + [T.StructField("n", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("many", T.BooleanType()), T.StructField("bytes", T.BinaryType())])
+CUTS = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("block", pa.int64()), ("blocks", pa.int64()), ("bytes", pa.binary())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted runs of each text."""
-    schema = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_()), ("bytes", pa.binary())])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            rows, done = [], set()
+            rows = []
             for r in batch.slice(at, 256).to_pylist():
                 data = unpacked(r["packed"])
-                if r["doc"] not in done:  # a repeated row has its runs once
-                    rows += [(r["doc"], r["doc_id"], w["pos"], w["n"], w["anchor"], w["many"], data[w["pos"] : w["pos"] + w["n"] + LENGTH - 1]) for w in r["wanted"]]
-                done.add(r["doc"])
+                rows += [(r["doc"], r["doc_id"], w["pos"], w["n"], w["anchor"], w["block"], w["blocks"], data[w["pos"] : w["pos"] + w["n"] + LENGTH - 1]) for w in r["wanted"]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CUTS.types, strict=True)], schema=CUTS)
 
 
 def packed_texts(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -214,41 +208,38 @@ def repeat_ranges(docs: DataFrame, keep: Written, first_stays: bool) -> DataFram
     """Ranges [low, high) of byte positions of a doc at which LENGTH-byte strings start that also start elsewhere; where first_stays, that
     also start earlier, by doc_id and position.
 
-    Runs of an anchor that no other run has are done after one count. Where all runs of an anchor have the same bytes, each
-    repeats the others. The rest are sorted as suffixes, one of each content, a few keys at a time; the keys with more than
-    SORT_ROWS contents are not brought together: their windows are counted by hash instead, over all tasks."""
+    Runs of an anchor that no other run has are done after one count. Runs of an anchor that have the same bytes, by two hashes of 128
+    bits together, repeat each other, and one of each content goes on if the anchor has several. The suffixes of an anchor's contents
+    are sorted, a few anchors at a time, and those that have LENGTH bytes in common with another, or with an earlier one by the
+    longest-previous-factor array, are found. An anchor with more than BLOCK_ROWS contents is dealt to blocks by content, each sorted as
+    well; the first strings of each kind in a block then go by a hash of their bytes to a second sort, which no single
+    anchor can fill and in which a string comes once a block at most."""
     own = docs.select(doc_key().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = keep(own.mapInArrow(_runs, from_arrow_schema(RUNS)), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("content") != F.max("content")).alias("mixed")).where("k > 1").select("anchor", "mixed")
-    runs = keep(runs.join(anchors, "anchor"), "repeated")
+    runs = keep(runs.join(keep(anchors, "anchors"), "anchor"), "repeated")
     keep.drop("runs")
     order = F.struct("doc_id", "doc", "pos", "n")
     contents = runs.groupBy("anchor", "content", "mixed").agg(F.count("*").alias("copies"), F.min(order).alias("first"))
     contents = keep(contents.select("anchor", "content", "mixed", "copies", "first.*"), "contents")
-    whole = [F.col("pos").alias("low"), (F.col("pos") + F.col("n")).alias("high")]
     several = contents.where("copies > 1").select("anchor", "content", F.col("doc").alias("d1"), F.col("pos").alias("p1"))
     copies = runs.join(several, ["anchor", "content"])
     if first_stays:
         copies = copies.where("NOT (doc = d1 AND pos = p1)")
-    found = [keep(copies.select("doc", *whole), "copies")]
+    copies = keep(copies.select("doc", F.col("pos").alias("low"), (F.col("pos") + F.col("n")).alias("high")), "copies")
+    keep.drop("repeated")
     sorted_ = contents.where("mixed")
-    widths = sorted_.groupBy("anchor").agg((F.count("*") > SORT_ROWS).alias("many"))
-    wanted = sorted_.join(widths, "anchor").groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "anchor", "many")).alias("wanted"))
-    cuts = packed_texts(own, ("doc_id",)).join(wanted, "doc").select("doc", "doc_id", "packed", "wanted").mapInArrow(_cut, CUTS)
-    cuts = keep(cuts, "cuts")
-    few = cuts.where("NOT many").drop("many").repartition("anchor").sortWithinPartitions("anchor")
-    found.append(keep(few.mapInArrow(_sorter(first_stays), RANGES), "sorted"))
-    many = cuts.where("many")
-    if not many.isEmpty():
-        windows = keep(many.mapInArrow(_windows, from_arrow_schema(WINDOWS)), "windows")
-        twice = windows.groupBy("window").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "doc", "low")).alias("first")).where("k > 1")
-        hits = windows.join(twice.select("window", F.col("first.doc").alias("d1"), F.col("first.low").alias("p1")), "window")
-        if first_stays:
-            hits = hits.where("NOT (doc = d1 AND low = p1)")
-        found.append(keep(hits.select("doc", "low", (F.col("low") + 1).alias("high")), "counted"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+    widths = keep(sorted_.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")), "widths")
+    wanted = sorted_.join(widths, "anchor").withColumn("block", F.pmod(F.xxhash64("content"), "blocks"))
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "anchor", "block", "blocks")).alias("wanted"))
+    cuts = packed_texts(own, ("doc_id",)).join(wanted, "doc").select("doc", "doc_id", "packed", "wanted").mapInArrow(_cut, from_arrow_schema(CUTS))
+    blocks = cuts.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+    found = keep(blocks.mapInArrow(_sorter(("anchor", "block"), first_stays, True), from_arrow_schema(FOUND)), "found")
+    again = found.where("key IS NOT NULL").select("doc", "doc_id", F.col("low").alias("pos"), F.lit(1).alias("n"), "key", "bytes")
+    again = again.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(("key",), first_stays, False), from_arrow_schema(FOUND))
+    out = copies
+    for x in (found.where("key IS NULL"), keep(again, "again")):
+        out = out.unionByName(x.select("doc", "low", "high"))
     return out
 
 
@@ -292,7 +283,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     columns are ignored."""
     keep = Written(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = _by_doc(repeat_ranges(own, keep, first_stays=False))
+    ranges = keep(_by_doc(repeat_ranges(own, keep, first_stays=False)), "ranges")
+    keep.only("ranges")
     return packed_texts(own, ("doc_id",)).join(ranges, "doc", "left").select("doc_id", "packed", "ranges").mapInArrow(_digests, from_arrow_schema(REMOVED))
 
 
@@ -301,15 +293,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     character that a cut splits goes with the cut. n_chars, if there, follows the text; texts that lose nothing stay as they are, nulls
     too. A row that repeats an earlier row, id and text, stays as it is, being the same document."""
     keep = Written(docs.sparkSession)
-    ranges = _by_doc(repeat_ranges(docs, keep, first_stays=True))
-    rows = docs.withColumn("doc", doc_key()).join(ranges.withColumnRenamed("ranges", "_ranges"), "doc", "left").select(*docs.columns, "_ranges")
+    ranges = keep(_by_doc(repeat_ranges(docs, keep, first_stays=True)), "ranges")
+    keep.only("ranges")
+    key, spans = (unused(name, docs.columns) for name in ("doc", "ranges"))
+    rows = docs.withColumn(key, doc_key()).join(ranges.toDF(key, spans), key, "left").select(*docs.columns, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part["text"].to_pylist()
-                for i, r in enumerate(part["_ranges"].to_pylist()):
+                for i, r in enumerate(part[spans].to_pylist()):
                     if r:
                         texts[i] = without(texts[i].encode("utf-8", "surrogatepass"), covered(r)).decode("utf-8", "ignore")
                 names = part.schema.names
