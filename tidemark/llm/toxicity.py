@@ -93,10 +93,11 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 1, warm: int
     pushed down and a toxic one's up. Of two classes only the difference of the softmax's rows matters, so the
     fitted model is returned as each bucket's share of the log odds, and the bias."""
     vocabulary: dict[str, int] = {}
-    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct_words(t)]) for t in texts]
+    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct_words(t)], "int32") for t in texts]
     if not bags or len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS, "float32"), (20.0 if len(labels) and labels[0] else -20.0) if len(bags) else 0.0
-    flat, counts = subwords(list(vocabulary))
+    words = list(vocabulary)
+    flat, counts = map(np.concatenate, zip(*(subwords(words[at : at + 10_000]) for at in range(0, len(words), 10_000)), strict=True))
     ends = np.concatenate([[0], np.cumsum(counts)])
     seen = np.bincount(np.concatenate(bags), minlength=len(vocabulary))
     rng = np.random.default_rng(seed)
@@ -126,7 +127,7 @@ def pack_model(odds: np.ndarray, bias: float) -> bytes:
     return out.getvalue()
 
 
-def score(texts: list[str | None], model: bytes, cached: int = 500_000) -> np.ndarray:
+def score(texts: list[str | None], model: bytes, cached: int = 150_000) -> np.ndarray:
     """Probability of label 1 of each whole text; a text without words gets the score of the empty word."""
     if model not in _cache:
         _cache.clear()
@@ -148,17 +149,19 @@ def score(texts: list[str | None], model: bytes, cached: int = 500_000) -> np.nd
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, seed: int = 1) -> bytes:
     """Fits on a sample of at most `sample` labelled rows, those of the lowest hash; that bound makes the ids small
     enough to broadcast, and the sample's texts small enough for one task. labels(doc_id, toxic) has the rows that may be
-    learned from; null labels and ids are left out, and of several labels of an id the largest counts."""
+    learned from; null labels and ids are left out. Of several labels of an id the largest counts, of several texts the smallest."""
     keep = Written(docs.sparkSession)
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    rows = keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = keep(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, 2 * sample)
+        table = table.sort_by("doc_id")
         return pa.table({"model": [pack_model(*train(table["text"].to_pylist(), table["toxic"].to_numpy(), seed))]})
 
     got = rows.select("doc_id", "text", "toxic").groupBy().applyInArrow(learn, "model binary").collect()
+    keep.only()
     return bytes(got[0].model) if got else pack_model(np.zeros(BUCKETS, "float32"), 0.0)
 
 
