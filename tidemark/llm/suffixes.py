@@ -20,7 +20,7 @@ LENGTH, GRAM = 200, 32
 #: Positions of one piece of a text fit in this many bits below a 43-bit hash.
 POSITION_BITS = 21
 #: Suffixes that one sort holds, about, and different contents in a block; a key with more is dealt to several blocks.
-SORT_STARTS, BLOCK_ROWS = 1 << 17, 3000
+SORT_STARTS, BLOCK_ROWS = 1 << 16, 600
 U = np.uint64
 
 
