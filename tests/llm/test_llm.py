@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -251,18 +252,47 @@ def test_mix(docs, rows, empty):
     assert sum(size(r.text) for r in mixed) == sum(int(target[n] + 1e-9) for n in names)
 
 
-def test_fingerprints(docs, rows, empty):
+def brute_print(text):
+    """Each bit by its own vote, without the batches and packed bits of the operator."""
+    words, votes = simhash.word_hashes(simhash.as_bytes(text)), [0.0] * 128
+    for n, half in ((1, 0.5), (2, 1.0)):
+        for term, count in Counter(simhash.run_hashes(words, n).tolist()).items():
+            w = (1 + math.log(count)) * half
+            for k in range(2):
+                own = int(simhash.mix(np.array([term], "uint64"), k)[0])
+                for byte in range(8):
+                    for bit in range(8):
+                        votes[64 * k + 8 * byte + bit] += w if own >> (8 * byte + 7 - bit) & 1 else -w
+    return votes
+
+
+def test_votes():
+    rng = random.Random(21)
+    texts = ["", "one", "a b a b a", " ".join(f"w{rng.randrange(300)}" for _ in range(700)), " ".join(f"w{i}" for i in range(9000))]
+    for text in texts:
+        bits = np.unpackbits(np.frombuffer(simhash.fingerprint(text), "uint8"))
+        assert all(b == (v > 0) for b, v in zip(bits, brute_print(text), strict=True) if abs(v) > 0.05)
+
+
+def test_fingerprints(spark, docs, rows, empty):
     out = simhash.against_next(docs, bytes_each=2000).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    hashes = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]))
     assert len(out) == len(rows)
-    want = Counter()
+    want, prints = Counter(), {int(simhash.fingerprint(r[1]).hex(), 16) for r in rows}
     for i, r in enumerate(order):
         text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        want[r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), simhash.fingerprint(text).hex(), simhash.fingerprint(edited).hex(), simhash.likeness(simhash.fingerprint(text), simhash.fingerprint(after))] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in out) == want
+        own = simhash.fingerprint(text)
+        near = sum(0 < (int(own.hex(), 16) ^ p).bit_count() <= 3 for p in prints)
+        want[r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), own.hex(), simhash.fingerprint(edited).hex(), simhash.likeness(own, simhash.fingerprint(after)), near] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next, r.n_near) for r in out) == want
     assert simhash.against_next(empty).count() == 0
+    one = simhash.against_next(docs.where("doc_id = 12"), bytes_each=10).collect()
+    assert [r.near_next for r in one] == [1.0]
+    ties = spark.createDataFrame([(None, f"t{i % 7} x{i % 5}") for i in range(60)], "doc_id long, text string")
+    assert simhash.against_next(ties, bytes_each=50).count() == 60
 
 
 def test_near_pairs(spark):

@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import Written, parts
@@ -86,34 +85,42 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)], schema=RESULT)
 
 
-def against_next(docs: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
+def against_next(docs: DataFrame, bytes_each: int = 16 << 20, most: int = 50_000, radius: int = 3) -> DataFrame:
     """A row of RESULT for every row of docs(doc_id, text), whose next document is the one of the next doc_id (after the last the
-    first; a single document is its own next).
+    first; a single document is its own next), and n_near: how many other fingerprints of the table lie within the radius.
 
     One shuffle sorts the texts by range; a scan of each range holds two texts. The last row of a range, with the first text, is
     kept apart and joined to the next range's, one row a range. Null texts are empty. Null ids come first, rows of equal ids
-    stand in the order of their texts. An empty table gives an empty result; other columns are ignored."""
+    stand in the order of a hash of their texts, so that no id fills a range. An empty table gives an empty result; other
+    columns are ignored."""
     keep = Written(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = kept.repartitionByRange(parts(size, bytes_each, 8), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = kept.repartitionByRange(min(most, parts(size, bytes_each, 8)), *order).sortWithinPartitions(*order, "text")
     rows = keep(rows.withColumn("pid", F.spark_partition_id()).mapInArrow(_scan, from_arrow_schema(EDGES)), "scan")
     ends = rows.where("edited_sha256 IS NULL")
-    order = W.orderBy("pid")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends = ends.withColumn("following", F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(whole)))
+    by_pid = W.orderBy("pid")  # a row a range, without its texts
+    after = ends.select("pid").select("pid", F.coalesce(F.lead("pid").over(by_pid), F.first("pid").over(by_pid.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next"))
+    ends = ends.join(after, "pid").join(ends.select(F.col("pid").alias("next"), F.col("first_text").alias("following")), "next")
     closed = ends.select("doc_id", "fingerprint", "last_text", "following").mapInArrow(_close, from_arrow_schema(RESULT))
-    return rows.where("edited_sha256 IS NOT NULL").select(*RESULT.names).unionByName(closed)
+    rows = rows.where("edited_sha256 IS NOT NULL").select(*RESULT.names).unionByName(closed)
+    pairs = keep(near_pairs(keep(rows.select("fingerprint").distinct(), "prints"), radius), "pairs")
+    near = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
+    near = keep(near, "near")
+    keep.only("scan", "near")
+    return rows.join(near, "fingerprint", "left").select(*RESULT.names, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def near_pairs(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """All pairs (a < b, distance) of different fingerprints of prints(fingerprint hex string) within the radius.
 
-    The BITS bits fall into blocks; two fingerprints within the radius agree on all but at most `radius` of them, so each
-    choice of blocks - radius blocks is a table whose key is those blocks, and a pair within the radius meets
-    in one of them at least. Equal fingerprints are one row first, so copies never meet each other. Null and repeated fingerprints, empty
-    tables and other columns are fine; nulls have no pairs."""
-    blocks = blocks or 2 * radius + 2
+    The BITS bits fall into blocks, radius + 2 if not given; two fingerprints within the radius agree on all but at most `radius` of
+    them, so each choice of blocks - radius blocks is a table whose key is those blocks, and a pair within the radius meets
+    in one of them at least. More blocks make more tables with longer keys, on which fewer others agree. Equal fingerprints are one row
+    first, so copies never meet each other. Null and repeated fingerprints, empty tables and other columns are fine; nulls have
+    no pairs."""
+    blocks = blocks or radius + 2
     own = prints.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
     digits = BITS // 4
     edges = [round(i * digits / blocks) for i in range(blocks + 1)]
@@ -121,7 +128,6 @@ def near_pairs(prints: DataFrame, radius: int = 3, blocks: int | None = None) ->
     keys = [F.concat(F.lit(f"{i}:"), *[F.substring("fingerprint", edges[b] + 1, edges[b + 1] - edges[b]) for b in c]) for i, c in enumerate(chosen)]
     table = own.select("fingerprint", F.explode(F.array(*[F.xxhash64(k) for k in keys])).alias("key"))
     a, b = table.withColumnRenamed("fingerprint", "a"), table.withColumnRenamed("fingerprint", "b")
-    pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
     words = [(i * 15 + 1, min(15, digits - i * 15)) for i in range(-(-digits // 15))]
     off = sum((F.bit_count(F.conv(F.substring("a", s, n), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", s, n), 16, 10).cast("long"))) for s, n in words), F.lit(0))
-    return pairs.withColumn("distance", off).where(F.col("distance") <= radius)
+    return a.join(b, (a["key"] == b["key"]) & F.expr("a < b")).where(off <= radius).select("a", "b", off.alias("distance")).distinct()
