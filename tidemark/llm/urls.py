@@ -44,28 +44,37 @@ def host_edges(pages: DataFrame, domain_weight: float = 0.5) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, keep: Written, rounds: int = 12, damping: float = 0.85, cut: int = 3) -> DataFrame:
-    """(kind, host, rank): for each kind of its own, PageRank over edges(kind, src, dst, w) personalised to seeds(kind, host, mass); a kind's
-    masses are scaled to sum 1. Weight that comes to a host without edges ends there. Written down every `cut` rounds, so plans
-    stay short and lost work small."""
+def propagated(edges: DataFrame, seeds: DataFrame, keep: Written, tolerance: float = 1e-3, damping: float = 0.85, cut: int = 5, most: int = 200) -> DataFrame:
+    """(kind, host, rank): for each kind of its own, PageRank over edges(kind, src, dst, w) personalised to seeds(kind, host, mass).
+
+    Rounds go on until what later ones could still move is under the tolerance, of a mass of 1, in every kind (the change over `cut`
+    rounds bounds it), `most` rounds at most. Mass that comes to a host without edges goes back to the seeds: all other ranks only grow in
+    proportion by that, so a kind's ranks are scaled to sum 1 at the end. Written down every `cut` rounds, so plans stay short and lost
+    work small."""
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     shares = keep(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
-    start = keep(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("rank")), "seeds")
+    start = keep(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("rank")), "start")
     base = start.withColumn("rank", (1 - damping) * F.col("rank"))
-    ranks = start
-    for i in range(1, rounds + 1):
+    ranks = last = start
+    for i in range(1, most + 1):
         sent = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
         ranks = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % cut == 0:
-            ranks = keep(ranks, "ranks")
-    return ranks
+            ranks = keep(ranks, f"ranks{i // cut % 2}")
+            moved = ranks.unionByName(last.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("by"))
+            ahead = moved.groupBy("kind").agg((F.sum("by") * (damping**cut / (1 - damping**cut))).alias("ahead"))
+            if ahead.where(F.col("ahead") > tolerance).isEmpty():
+                break
+            last = ranks
+    whole = ranks.groupBy("kind").agg(F.sum("rank").alias("all"))
+    return ranks.join(whole, "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of pages(page_id, url, html).
 
-    Trust flows from the hosts of allowed pages along links, distrust from the hosts of blocked pages against them. Both are held against the
+    Pages without absolute links give no edges between strangers; then only hosts of one domain reach each other. Trust flows from the hosts of allowed pages along links, distrust from the hosts of blocked pages against them. Both are held against the
     host's share of all pages: it is blocked if distrust / (trust + distrust + share) is above the threshold; one that
     distrust doesn't reach is allowed, as is the empty host of null urls. Null html has no links. Repeated rows each give a row, and count as a page each. An empty table gives an
     empty result; other columns are ignored."""
@@ -75,7 +84,7 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFr
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     judged = keep(rows.drop("html").withColumn("rule", text).withColumn("by_rule", verdict), "judged")
     edges = keep(host_edges(rows), "edges")
-    seeds = keep(judged.where("by_rule IS NOT NULL AND host <> ''").groupBy(F.col("by_rule").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass")), "by_rule")
+    seeds = keep(judged.where("by_rule IS NOT NULL AND host <> ''").groupBy(F.col("by_rule").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass")), "seeds")
     forth = edges.select(F.lit("allow").alias("kind"), "src", "dst", "w")
     back = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     ranks = propagated(forth.unionByName(back), seeds, keep)
@@ -84,5 +93,7 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFr
     own = judged.groupBy("host").agg(F.count("*").alias("n"))
     part = F.round(F.col("d") / (F.col("t") + F.col("d") + F.col("n") / F.lit(max(1, judged.count()))), 9)  # so that the order of sums doesn't matter
     hosts = ranks.join(own, "host").select("host", F.when(part > threshold, "block").otherwise("allow").alias("by_links"))
-    out = judged.join(keep(hosts, "hosts"), "host", "left")
+    hosts = keep(hosts, "hosts")
+    keep.only("judged", "hosts")
+    out = judged.join(hosts, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_links", F.lit("allow")).alias("verdict"))
