@@ -146,6 +146,48 @@ def test_quality(spark, docs, rows, empty):
     assert quality.quality(docs, none).count() == len(rows) and quality.quality(empty, none).count() == 0
 
 
+def test_certified_cutoffs(spark):
+    """Verdicts against the same paths and tests in plain Python, and the share of good texts that go."""
+    rng = random.Random(31)
+
+    def text(symbols, junk):
+        return " ".join(f"w{rng.randrange(10**6)}" + ("%" if rng.random() < symbols else "") + ("X!" if rng.random() < junk else "") for _ in range(60))
+
+    rows, labels = [], []
+    for i in range(6000):
+        lang = ("en", "de", "fr", None)[i % 4]
+        good = rng.random() < 0.7
+        rows.append((i, text(rng.betavariate(1, 9) if good else rng.betavariate(3, 3), rng.betavariate(1, 9) if good else rng.betavariate(2, 4)), lang))
+        if lang != "fr" and (lang is not None or i < 200):
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.kept for r in quality.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    tuning = {r.doc_id: r.t for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2)) == 0).alias("t")).collect()}
+    scores = {}
+    for i, t, _ in rows:
+        n, chars, symbols, dup, repeat, lines, shouts = quality.measure(t)
+        scores[i] = [symbols / n, dup / lines, repeat / n, shouts / chars, chars / n / 20]
+    truth, depths = dict(labels), {}
+    for lang in ("en", "de", "fr", None):
+        own = [i for i, _, x in rows if x == lang and i in truth]
+        half = [i for i in own if tuning[i]]
+        counts = {"good": sum(truth[i] for i in half), "bad": sum(1 - truth[i] for i in half)}
+        for k, wanted in (("g", 1), ("b", 0)):
+            for at, rule in enumerate(quality.RULES):
+                counts |= {f"{k}_{rule}_{c}": sum(truth[i] == wanted and scores[i][at] > cutoff for i in half) for c, cutoff in enumerate(quality.CUTOFFS)}
+        path = quality.path_of(counts) if own else []
+        goes = lambda i, upto: any(scores[i][at] > cutoff for at, cutoff in path[:upto])  # noqa: B023, E731
+        held = [i for i in own if truth[i] and not tuning[i]]
+        depth = 0
+        while depth < len(path) and held and quality.binomial_bound(sum(goes(i, depth + 1) for i in held), len(held), 0.05 / 3) <= 0.05:
+            depth += 1
+        depths[lang] = depth
+        assert all(out[i] == (not goes(i, depth)) for i, _, x in rows if x == lang)
+    assert depths["en"] and depths["de"] and not depths["fr"]
+    good = [out[i] for i, v in labels if v]
+    assert sum(good) >= 0.95 * len(good) and sum(out[i] for i, v in labels if not v) < 0.8 * sum(1 - v for _, v in labels)
+
+
 def test_binomial_bound():
     assert quality.binomial_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
     assert quality.binomial_bound(5, 5, 0.05) == 1.0

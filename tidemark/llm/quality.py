@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import Written
@@ -82,52 +83,90 @@ def binomial_bound(failures: int, n: int, error: float) -> float:
     return high
 
 
-def choose_cutoffs(counts: list[dict], limit: float, error: float, rules: dict[str, str] = RULES) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule. counts: one row a stratum with good, bad and, for each rule and cutoff, how many good and bad
-    texts lie above it. A rule's part of the allowed false rejections is limit / rules. The error is shared evenly among the
-    strata's rules (Bonferroni); a rule's cutoffs are tested in a fixed order, from the most lenient, up to the first whose bound is not
-    within its part, which needs no further share. Of those before it, that with the most bad texts less good ones by rate is
-    taken, the most lenient if several; none if no bad text would go."""
-    tests = max(1, len(counts)) * len(rules)
-    found: dict[str, dict[str, float]] = {}
-    for row in counts:
-        for rule in rules:
-            best = (0.0, None)
-            for i, cutoff in reversed(list(enumerate(CUTOFFS))):
-                wrong, right = row[f"g_{rule}_{i}"], row[f"b_{rule}_{i}"]
-                if not row["good"] or binomial_bound(wrong, row["good"], error / tests) > limit / len(rules):
-                    break
-                gain = right / max(1, row["bad"]) - wrong / row["good"]
-                if gain > best[0] + 1e-12:
-                    best = (gain, cutoff)
-            if best[1] is not None:
-                found.setdefault(row["stratum"], {})[rule] = best[1]
-    return found
-
-
-def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, error: float = 0.05, strata: int = 200) -> DataFrame:
+def path_of(counts: dict) -> list[tuple[int, float]]:
+    """The order in which a stratum's (rule, cutoff) steps are to be tested, from the counts of its tuning half: good, bad and, for each
+    rule and cutoff, how many good and bad texts lie above it (g_<rule>_<i>, b_<rule>_<i>). Of each rule, from the most lenient cutoff, those
+    stay that reject more of the bad than of the good, by rate, of what the one before let pass; steps of all rules follow by the
+    rate of good texts that they reject."""
+    steps = []
+    for at, rule in enumerate(RULES):
+        before = (0.0, 0.0)
+        for i, cutoff in reversed(list(enumerate(CUTOFFS))):
+            now = counts[f"g_{rule}_{i}"] / max(1, counts["good"]), counts[f"b_{rule}_{i}"] / max(1, counts["bad"])
+            if now[1] - before[1] > now[0] - before[0]:
+                steps.append((now[0], -cutoff, at, cutoff))
+                before = now
+    return [(at, cutoff) for *_, at, cutoff in sorted(steps)]
+
+
+def certified(good: int, rejected: list[int], limit: float, error: float) -> int:
+    """How many steps of a path hold: rejected[t] of `good` held-out good texts go by step t or an earlier one. Steps are tested in
+    their order until the first whose bound is above the limit, so all tests of a path share one error."""
+    for t, k in enumerate(rejected):
+        if not good or binomial_bound(k, good, error) > limit:
+            return t
+    return len(rejected)
+
+
+PATH = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("path", T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("cutoff", T.DoubleType())])))])
+DEPTH = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("depth", T.IntegerType())])
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("rule", pa.int32()), ("cutoff", pa.float64())]))
+    for batch in batches:
+        rows = batch.to_pylist()
+        paths = [[{"rule": rule, "cutoff": cutoff} for rule, cutoff in path_of(r)] for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r["stratum"] for r in rows], pa.string()), pa.array(paths, kind)], names=PATH.names)
+
+
+def certified_paths(rows: DataFrame, keep: Written, limit: float, error: float) -> DataFrame:
+    """(stratum, path, depth): the steps of each stratum's path and how many of them hold, for labelled rows(doc_id, stratum, good, scores).
+
+    A hash halves the labelled texts: one half orders the steps, the other tests them. The error is shared evenly among all
+    strata (Bonferroni)."""
+    tuning = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2)) == 0
+    rows = keep(rows.withColumn("tuning", tuning), "labelled")
+    good, bad = F.col("good"), ~F.col("good")
+    score = {rule: F.element_at("scores", i + 1) for i, rule in enumerate(RULES)}
+    tally = [F.count_if((good if k == "g" else bad) & (score[rule] > c)).alias(f"{k}_{rule}_{i}") for k in "gb" for rule in RULES for i, c in enumerate(CUTOFFS)]
+    counted = rows.where("tuning").groupBy("stratum").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"), *tally)
+    paths = keep(counted.mapInArrow(_paths, PATH), "paths")
+    held = rows.where("NOT tuning AND good").join(paths, "stratum").select("stratum", step_of(F.col("path"), F.col("scores")).alias("step"))
+    steps = held.groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    strata = max(1, rows.select("stratum").distinct().count())
+
+    def depth(table: pa.Table) -> pa.Table:
+        by = {s: n for s, n in zip(table["step"].to_pylist(), table["n"].to_pylist(), strict=True) if n is not None}
+        upto = np.cumsum([by.get(t + 1, 0) for t in range(table["steps"][0].as_py())], dtype="int64").tolist()
+        return pa.table({"stratum": table["stratum"][:1], "depth": pa.array([certified(sum(by.values()), upto, limit, error / strata)], pa.int32())})
+
+    sizes = paths.select("stratum", F.size("path").alias("steps"))
+    depths = sizes.join(steps, "stratum", "left").select("stratum", "steps", "step", "n").groupBy("stratum").applyInArrow(depth, DEPTH)
+    return paths.join(depths, "stratum")
+
+
+def step_of(path, scores):
+    """The first step of the path that rejects the scores, from 1; 0 if none does."""
+    over = F.transform(path, lambda p: F.element_at(scores, p["rule"] + 1) > p["cutoff"])
+    return F.array_position(over, True).cast("int")
+
+
+def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, error: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of docs(doc_id, text, `stratum`).
 
-    With probability 1 - error, no stratum loses more than `limit` of its good texts (labels.quality 1) to the cutoffs. All
-    labelled texts count, as sums by stratum; strata beyond the `strata` with most labels, and those with too few
-    labels to prove a cutoff, keep all that passes the base rules. Null text: no words, fails the base. A null stratum is the
-    stratum "". Labels of null ids or values don't count; of several labels of an id the smallest counts. Repeated
-    rows each give a row. An empty table gives an empty result."""
+    With probability 1 - error, no stratum loses more than `limit` of its good texts (labels.quality 1) that pass the base rules to the
+    cutoffs. All labelled texts count; strata with too few to prove a step, or none, keep all that passes the base rules. Null text: no
+    words, fails the base. A null stratum is the stratum "". Labels of null ids or values don't count; of several labels
+    of an id the smallest counts. Repeated rows each give a row. An empty table gives an empty result."""
     keep = Written(docs.sparkSession)
-    rows = keep(measures(docs, stratum), "measures")
-    truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    for rule, score in RULES.items():
-        rows = rows.withColumn(f"s_{rule}", F.expr(score))
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
     base = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-    tally = [F.count_if((good if k == "g" else bad) & (F.col(f"s_{rule}") > c)).alias(f"{k}_{rule}_{i}") for k in "gb" for rule in RULES for i, c in enumerate(CUTOFFS)]
-    counted = rows.where(f"NOT ({base})").join(truth, "doc_id").groupBy("stratum").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"), *tally)
-    cutoffs = choose_cutoffs([r.asDict() for r in counted.orderBy(F.desc("good"), "stratum").limit(strata).collect()], limit, error)
-    rejected = F.lit(False)
-    for s, by_rule in cutoffs.items():
-        above = F.lit(False)
-        for rule, cutoff in by_rule.items():
-            above = above | (F.col(f"s_{rule}") > cutoff)
-        rejected = rejected | ((F.col("stratum") == s) & above)
-    out = rows.withColumn("base_failed", F.expr(base)).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    rows = keep(measures(docs, stratum), "measures").withColumn("base_failed", F.expr(base)).withColumn("scores", F.array(*[F.expr(x).cast("double") for x in RULES.values()]))
+    truth = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    labelled = rows.where("NOT base_failed").join(truth, "doc_id").select("doc_id", "stratum", "good", "scores")
+    plan = keep(certified_paths(labelled, keep, limit, error), "plan")
+    keep.only("measures", "plan")
+    step = step_of(F.col("path"), F.col("scores"))
+    rejected = F.coalesce(step.between(1, F.col("depth")), F.lit(False))
+    out = rows.join(plan, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
