@@ -177,10 +177,14 @@ def test_certified_cutoffs(spark):
                 counts |= {f"{k}_{rule}_{c}": sum(truth[i] == wanted and scores[i][at] > cutoff for i in half) for c, cutoff in enumerate(quality.CUTOFFS)}
         path = quality.path_of(counts) if own else []
         goes = lambda i, upto: any(scores[i][at] > cutoff for at, cutoff in path[:upto])  # noqa: B023, E731
-        held = [i for i in own if truth[i] and not tuning[i]]
-        depth = 0
-        while depth < len(path) and held and quality.binomial_bound(sum(goes(i, depth + 1) for i in held), len(held), 0.05 / 3) <= 0.05:
-            depth += 1
+        held = {v: [i for i in own if truth[i] == v and not tuning[i]] for v in (0, 1)}
+        depth, best = 0, 0
+        for t in range(1, len(path) + 1):
+            gone, caught = (sum(goes(i, t) for i in held[v]) for v in (1, 0))
+            if not held[1] or quality.binomial_bound(gone, len(held[1]), 0.05 / 3) > 0.05:
+                break
+            if caught / max(1, len(held[0])) - gone / len(held[1]) > best + 1e-12:
+                depth, best = t, caught / max(1, len(held[0])) - gone / len(held[1])
         depths[lang] = depth
         assert all(out[i] == (not goes(i, depth)) for i, _, x in rows if x == lang)
     assert depths["en"] and depths["de"] and not depths["fr"]

@@ -99,13 +99,19 @@ def path_of(counts: dict) -> list[tuple[int, float]]:
     return [(at, cutoff) for *_, at, cutoff in sorted(steps)]
 
 
-def certified(good: int, rejected: list[int], limit: float, error: float) -> int:
-    """How many steps of a path hold: rejected[t] of `good` held-out good texts go by step t or an earlier one. Steps are tested in
-    their order until the first whose bound is above the limit, so all tests of a path share one error."""
-    for t, k in enumerate(rejected):
-        if not good or binomial_bound(k, good, error) > limit:
-            return t
-    return len(rejected)
+def certified(good: list[int], bad: list[int], limit: float, error: float) -> int:
+    """How many steps of a path to take. good, bad: how many held-out texts of each kind go at each step first, and at the end those that
+    never go. Steps are tested in their order until the first at which the bound of the rate of good texts gone is above the
+    limit, so all tests of a path share one error. Of those that hold, the first is taken up to which the most bad texts less good
+    ones have gone, by rate."""
+    best, depth, gone, caught = 0.0, 0, 0, 0
+    for t in range(len(good) - 1):
+        gone, caught = gone + good[t], caught + bad[t]
+        if not sum(good) or binomial_bound(gone, sum(good), error) > limit:
+            break
+        if caught / max(1, sum(bad)) - gone / sum(good) > best + 1e-12:
+            best, depth = caught / max(1, sum(bad)) - gone / sum(good), t + 1
+    return depth
 
 
 PATH = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("path", T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("cutoff", T.DoubleType())])))])
@@ -132,17 +138,18 @@ def certified_paths(rows: DataFrame, keep: Written, limit: float, error: float)
     tally = [F.count_if((good if k == "g" else bad) & (score[rule] > c)).alias(f"{k}_{rule}_{i}") for k in "gb" for rule in RULES for i, c in enumerate(CUTOFFS)]
     counted = rows.where("tuning").groupBy("stratum").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"), *tally)
     paths = keep(counted.mapInArrow(_paths, PATH), "paths")
-    held = rows.where("NOT tuning AND good").join(paths, "stratum").select("stratum", step_of(F.col("path"), F.col("scores")).alias("step"))
-    steps = held.groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    held = rows.where("NOT tuning").join(paths, "stratum").select("stratum", "good", step_of(F.col("path"), F.col("scores")).alias("step"))
+    steps = held.groupBy("stratum", "step").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     strata = max(1, rows.select("stratum").distinct().count())
 
     def depth(table: pa.Table) -> pa.Table:
-        by = {s: n for s, n in zip(table["step"].to_pylist(), table["n"].to_pylist(), strict=True) if n is not None}
-        upto = np.cumsum([by.get(t + 1, 0) for t in range(table["steps"][0].as_py())], dtype="int64").tolist()
-        return pa.table({"stratum": table["stratum"][:1], "depth": pa.array([certified(sum(by.values()), upto, limit, error / strata)], pa.int32())})
+        by = {r["step"]: r for r in table.to_pylist()}
+        order = [*range(1, table["steps"][0].as_py() + 1), 0]
+        good, bad = ([(by[t][k] or 0) if t in by else 0 for t in order] for k in "gb")
+        return pa.table({"stratum": table["stratum"][:1], "depth": pa.array([certified(good, bad, limit, error / strata)], pa.int32())})
 
     sizes = paths.select("stratum", F.size("path").alias("steps"))
-    depths = sizes.join(steps, "stratum", "left").select("stratum", "steps", "step", "n").groupBy("stratum").applyInArrow(depth, DEPTH)
+    depths = sizes.join(steps, "stratum", "left").select("stratum", "steps", "step", "g", "b").groupBy("stratum").applyInArrow(depth, DEPTH)
     return paths.join(depths, "stratum")
 
 
