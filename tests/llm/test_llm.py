@@ -543,6 +543,39 @@ def main_texts(pages):
     return [wrappers.main_text(wrappers.parse(page), wrapper) for page in pages]
 
 
+def test_the_alignment_decides_on_the_main_region():
+    """Tags and names mislead on these hosts; only what varies between their pages tells the text."""
+    body = lambda i: f"long own text {i} " * 20
+    teaser = [f"<body><article class=teaser>the same offer</article><div class=post><h2>t{i}</h2><p>{body(i)}</p></div></body>" for i in range(4)]
+    assert main_texts(teaser) == [f"t{i} {body(i)}".strip() for i in range(4)]
+    search = [f"<body><nav>menu</nav><div class='search results'><p>{body(i)}</p></div><footer>f</footer></body>" for i in range(4)]
+    assert main_texts(search) == [body(i).strip() for i in range(4)]
+    rude = [f"<body><article><p>short {i}</p></article><div class=comments>{body(i)}</div><div class=ad>{body(i)}</div></body>" for i in range(4)]
+    assert main_texts(rude) == [f"short {i}" for i in range(4)]
+    one = "<body><article>short</article><div>much more beside it, but nothing to hold it against</div></body>"
+    assert main_texts([one]) == ["short"]
+    odd = [f"<body><main><p>{body(i)}</p></main></body>" for i in range(4)] + ["<body><div>a page without the element</div></body>"]
+    assert main_texts(odd) == [body(i).strip() for i in range(4)] + ["a page without the element"]
+
+
+def test_aligned():
+    rng = random.Random(15)
+    for cells in (40_000, 0):
+        for _ in range(60):
+            x, y = ([rng.choice("abcdefghij") for _ in range(rng.randrange(25))] for _ in range(2))
+            pairs = wrappers.aligned(x, y, cells)
+            assert all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+            if cells:
+                best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+                for i, j in ((i, j) for i in reversed(range(len(x))) for j in reversed(range(len(y)))):
+                    best[i][j] = max(best[i + 1][j + 1] + (x[i] == y[j]), best[i + 1][j], best[i][j + 1])
+                assert len(pairs) == best[0][0]
+    x = [f"p.{i}" for i in range(60_000)]
+    y = [k for i, k in enumerate(x) if i % 7] + ["end"]
+    assert len(wrappers.aligned(x, y)) == len(y) - 1
+    assert len(wrappers.aligned(["a", "b"] * 30_000, ["b", "c", "a"] * 20_000)) >= 20_000
+
+
 def test_template_slots_are_counted_by_pages():
     own = [f"<p>same on all</p><div id=post-{i}1><h2>title {i}</h2>text {i}</div>" for i in range(4)]
     assert main_texts(own) == [f"title {i} text {i}" for i in range(4)]

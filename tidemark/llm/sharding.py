@@ -88,8 +88,8 @@ def shard(docs: DataFrame, shards: int = 8, rows_each: int = 20_000, text: str =
     Rows with equal texts form an atomic group; groups are ordered by a hash of the text, and the smallest capacity
     for which a contiguous partition into `shards` parts exists decides the cuts. Null texts count as empty ones
     and so share their group. A group larger than an even share makes its shard that large. Repeated rows stay,
-    each with its own slot; ids don't matter to the shard. An empty table gives an empty result. Columns besides
-    the ones named here are kept under their names, the five made here replace columns of the same names."""
+    each with its own slot; ids don't matter to the shard. An empty table gives an empty result; other columns of docs are
+    ignored."""
     spark, keep = docs.sparkSession, Written(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("key"))

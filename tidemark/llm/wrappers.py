@@ -8,7 +8,8 @@ import json
 import re
 import sys
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,19 +45,23 @@ ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe subscription menu nav navbar navigation sidebar footer header masthead complementary contentinfo search comment comments commentlist respond replies disqus related share sharing social breadcrumb breadcrumbs login signup pagination pager widget".split()
 )
 
+#: Of these names, those that also name what holds the text itself: a page of search results, a notice, a widget of a page builder.
+DOUBTFUL = frozenset("notice notices alert search related header banner promo widget modal popup subscription share sharing social pagination pager".split())
+
 #: Elements whose classes and ids speak of the page, not of what is beside its text.
 WHOLE = frozenset(("html", "body", *MAIN))
 
 
 class Node:
     """An element (or, with the label "", a text slot) of a page or a wrapper. In a wrapper, `repeated` and `optional` stand for + and ?,
-    a slot's constant is a hash of its text as long as all pages agree on it, and `pages` has the least TEMPLATE of the hashes of the
-    different pages that hold the slot."""
+    a slot's constant is a hash of its text as long as all pages agree on it, `mass` counts the characters of all its texts, and `pages` has
+    the least TEMPLATE of the hashes of the different pages that hold the slot."""
 
-    __slots__ = ("constant", "kids", "label", "optional", "pages", "repeated", "text")
+    __slots__ = ("constant", "kids", "label", "mass", "optional", "pages", "repeated", "text")
 
     def __init__(self, label: str, text: str = ""):
         self.label, self.text, self.kids, self.repeated, self.optional, self.pages = label, text, [], False, False, ()
+        self.mass = len(text.strip())
         self.constant = zlib.crc32(" ".join(text.split()).encode("utf-8", "surrogatepass")) if text else None
 
     def plain(self) -> list:
@@ -64,7 +69,7 @@ class Node:
         out, todo = [], [self]
         while todo:
             node = todo.pop()
-            out.append([node.label, node.constant, int(node.repeated), int(node.optional), node.pages, len(node.kids)])
+            out.append([node.label, node.constant, int(node.repeated), int(node.optional), node.pages, node.mass, len(node.kids)])
             todo.extend(reversed(node.kids))
         return out
 
@@ -72,13 +77,13 @@ class Node:
     def of(cls, nodes: list) -> Node:
         top = cls("")
         todo, deepest = [(top, 1)], 1
-        for label, constant, repeated, optional, pages, kids in nodes:
+        for label, constant, repeated, optional, pages, mass, kids in nodes:
             while todo[-1][1] == 0:
                 todo.pop()
             above, left = todo[-1]
             todo[-1] = (above, left - 1)
             node = cls(label)
-            node.constant, node.repeated, node.optional, node.pages = constant, bool(repeated), bool(optional), tuple(pages)
+            node.constant, node.repeated, node.optional, node.pages, node.mass = constant, bool(repeated), bool(optional), tuple(pages), mass
             above.kids.append(node)
             todo.append((node, kids))
             deepest = max(deepest, len(todo))
@@ -168,13 +173,74 @@ def fold(kids: list[Node]) -> list[Node]:
     return out
 
 
-def common(x: list[str], y: list[str]) -> list[list[int]]:
-    """The length of the longest common subsequence of x[i:] and y[j:]."""
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two short lists, as pairs of places."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    return best
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def aligned(x: list[str], y: list[str], cells: int = 40_000) -> list[tuple[int, int]]:
+    """Pairs of places at which two lists of labels are aligned, ascending in both. Equal starts and ends are taken off; what is left is
+    aligned by its longest common subsequence if that takes at most `cells` steps, else cut at the labels that each side
+    has once, or, without such, aligned to the next equal label each, so that time and memory stay near the lists' lengths."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] == y[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= cells:
+            out += [(i + a, j + b) for a, b in common(x[i:n], y[j:m])]
+            continue
+        times, there = Counter(x[i:n]), Counter(y[j:m])
+        at = {label: k + j for k, label in enumerate(y[j:m]) if there[label] == 1 and times[label] == 1}
+        anchors = rising([(k + i, at[label]) for k, label in enumerate(x[i:n]) if label in at])
+        if not anchors:
+            places = defaultdict(list)
+            for k in range(j, m):
+                places[y[k]].append(k)
+            free = j
+            for k in range(i, n):
+                own = places.get(x[k], [])
+                if (found := bisect_left(own, free)) < len(own):
+                    out.append((k, own[found]))
+                    free = own[found] + 1
+            continue
+        edges = [(i - 1, j - 1), *anchors, (n, m)]
+        out += anchors
+        todo += [(a + 1, c, b + 1, d) for (a, b), (c, d) in zip(edges, edges[1:], strict=False)]
+    return sorted(out)
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs, ascending in the first, that ascends in the second too."""
+    ends, tops, back = [], [], []
+    for k, (_, b) in enumerate(pairs):
+        at = bisect_left(ends, b)
+        ends[at : at + 1], tops[at : at + 1] = [b], [k]
+        back.append(tops[at - 1] if at else -1)
+    out, k = [], tops[-1] if tops else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
 
 
 def merge(a: Node, b: Node) -> Node:
@@ -182,40 +248,62 @@ def merge(a: Node, b: Node) -> Node:
     out = Node(a.label)
     out.repeated, out.optional = a.repeated or b.repeated, a.optional or b.optional
     out.constant = a.constant if a.constant == b.constant else None
+    out.mass = a.mass + b.mass
     out.pages = a.pages if a.pages == b.pages else tuple(sorted({*a.pages, *b.pages})[:TEMPLATE])
     x, y = fold(a.kids), fold(b.kids)
-    if [k.label for k in x] == [k.label for k in y]:
-        out.kids = [merge(p, q) for p, q in zip(x, y, strict=True)]
-        return out
-    best = common([k.label for k in x], [k.label for k in y])
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].label == y[j].label:
-            out.kids.append(merge(x[i], y[j]))
-            i, j = i + 1, j + 1
-            continue
-        if j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            only, i = x[i], i + 1
-        else:
-            only, j = y[j], j + 1
-        only.optional = True
-        out.kids.append(only)
+    for p, q in [*aligned([k.label for k in x], [k.label for k in y]), (len(x), len(y))]:
+        for only in [*x[i:p], *y[j:q]]:
+            only.optional = True
+            out.kids.append(only)
+        if p < len(x):
+            out.kids.append(merge(x[p], y[q]))
+        i, j = p + 1, q + 1
     out.kids = fold(out.kids)
     return out
 
 
-def _aside(label: str, inside: bool) -> bool:
+def _aside(label: str, inside: bool, content: frozenset[str] = frozenset()) -> bool:
+    """Whether an element is beside the main text: by its tag, or by its names unless the wrapper shows it to be content."""
     tag, *names = label.split(".")
-    return tag in ASIDE or (tag == "header" and not inside) or (tag not in WHOLE and bool(ASIDE_NAMES.intersection(names)))
+    return tag in ASIDE or (tag == "header" and not inside) or (tag not in WHOLE and bool(ASIDE_NAMES.intersection(names)) and label not in content)
 
 
-def has_main(wrapper: Node) -> bool:
-    """Whether an article or main element stands outside what is aside."""
-    todo = [wrapper]
+def _masses(wrapper: Node, named: bool, content: frozenset[str]) -> tuple[int, list[tuple[str, int]], bool]:
+    """The characters of the texts that vary between a host's pages (of all, if none vary), and of those in each element, outside what is
+    aside by tag and, if `named`, by names; and whether any vary."""
+    order, todo = [], [(wrapper, -1)]
+    while todo:
+        node, above = todo.pop()
+        order.append((node, above))
+        todo += [(k, len(order) - 1) for k in node.kids if not (_aside(k.label, True, content) if named else k.label.split(".")[0] in ASIDE)]
+    free = [n.mass if n.label == "" and n.constant is None else 0 for n, _ in order]
+    masses = free.copy() if sum(free) else [n.mass if n.label == "" else 0 for n, _ in order]
+    for i in range(len(order) - 1, 0, -1):
+        masses[order[i][1]] += masses[i]
+    return masses[0], [(n.label, m) for (n, _), m in zip(order, masses, strict=True) if n.label], sum(free) > 0
+
+
+def main_region(wrapper: Node) -> tuple[frozenset[str], frozenset[str]]:
+    """What the alignment says of a host: the labels of its article and main elements that hold most of the text that varies between its
+    pages (all of these, if nothing varies), and of elements that are not beside the text although their names, of the doubtful
+    kind, say so. That is when names hide three quarters of the text that varies, and one such element holds most of that."""
+    content: frozenset[str] = frozenset()
+    all_, elements, _ = _masses(wrapper, False, content)
+    shown, own, varied = _masses(wrapper, True, content)
+    if 4 * shown < all_:
+        content = frozenset(x for x, m in elements if 2 * m > all_ and _aside(x, True) and ASIDE_NAMES.intersection(x.split(".")[1:]) <= DOUBTFUL)
+        shown, own, varied = _masses(wrapper, True, content)
+    return frozenset(x for x, m in own if x.split(".")[0] in MAIN and (2 * m > shown or not varied)), content
+
+
+def holds(page: Node, labels: frozenset[str], content: frozenset[str]) -> bool:
+    """Whether one of the labels stands on the page outside what is aside."""
+    todo = [page] if labels else []
     while todo:
         for k in todo.pop().kids:
-            if k.label and not _aside(k.label, False):
-                if k.label.split(".")[0] in MAIN:
+            if k.label and not _aside(k.label, False, content):
+                if k.label in labels:
                     return True
                 todo.append(k)
     return False
@@ -243,28 +331,16 @@ def matched(kids: list[Node], pattern: Node | None) -> list[Node | None]:
         if not blank and (not labels or labels[-1] != k.label):
             labels.append(k.label)
         group.append(None if blank else len(labels) - 1)
-    others = [k.label for k in pattern.kids]
-    at: list[int | None] = [None] * len(labels)
-    if labels == others:
-        at = list(range(len(labels)))
-    else:
-        best, i, j = common(labels, others), 0, 0
-        while i < len(labels) and j < len(others):
-            if labels[i] == others[j]:
-                at[i] = j
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    return [None if g is None or at[g] is None else pattern.kids[at[g]] for g in group]
+    at = dict(aligned(labels, [k.label for k in pattern.kids]))
+    return [pattern.kids[at[g]] if g in at else None for g in group]
 
 
-def main_text(page: Node, wrapper: Node) -> str:
-    """Texts in the wrapper's main region, blocks and white space as one space. Without a main element the region is the whole
-    page but what is aside, and a text that is the same on all pages that have it, TEMPLATE different ones at least, is the
-    template's, provided that other texts of the host vary."""
-    limited = has_main(wrapper)
+def main_text(page: Node, wrapper: Node, region: tuple[frozenset[str], frozenset[str]] | None = None) -> str:
+    """Texts in the host's main region, blocks and white space as one space: the article or main elements that hold most of the text
+    that varies between its pages. On a page without these the region is the whole page but what is aside, and a text that is the same
+    on all pages that have it, TEMPLATE different ones at least, is the template's, provided that other texts of the host vary."""
+    mains, content = main_region(wrapper) if region is None else region
+    limited = holds(page, mains, content)
     out, todo = [], [(page, None if limited or not varies(wrapper) else wrapper, not limited)]
     while todo:
         item = todo.pop()
@@ -276,9 +352,9 @@ def main_text(page: Node, wrapper: Node) -> str:
             if k.label == "":
                 if inside and not (slot and slot.constant == k.constant and len(slot.pages) >= TEMPLATE):
                     own.append(k.text)
-            elif not _aside(k.label, inside and limited):
+            elif not _aside(k.label, inside and limited, content):
                 space = "" if k.label.split(".")[0] in INLINE else " "
-                own += [space, (k, slot, inside or k.label.split(".")[0] in MAIN), space]
+                own += [space, (k, slot, inside or k.label in mains), space]
         todo.extend(reversed(own))
     return " ".join("".join(out).split())
 
@@ -362,7 +438,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     host = F.translate(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")), UPPER_LETTERS, LOWER_LETTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Node] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
@@ -370,8 +446,9 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
                     if r["wrapper"] not in known:
                         if len(known) > 2000:
                             known.clear()
-                        known[r["wrapper"]] = Node.of(json.loads(r["wrapper"] or '[["page",null,0,0,[],0]]'))
-                    text = main_text(parse(r["html"]), known[r["wrapper"]])
+                        wrapper = Node.of(json.loads(r["wrapper"] or '[["page",null,0,0,[],0,0]]'))
+                        known[r["wrapper"]] = wrapper, main_region(wrapper)
+                    text = main_text(parse(r["html"]), *known[r["wrapper"]])
                     rows.append((r["page_id"], r["url"], text, len(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TEXTS.types, strict=True)], schema=TEXTS)
 
