@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -58,10 +59,13 @@ def encoder(tokenizer: str, ranks: str | None):
     """text -> ids of a `tokenizers` file without special tokens added. Where `ranks` names the same vocabulary as
     byte ranks, the same ids come from the faster library; texts with the string of a special token, which the
     file's own tokenizer treats apart, still go through that."""
-    from tokenizers import Tokenizer
+    @lru_cache(maxsize=1)
+    def exact():
+        from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(tokenizer)
-    plain = lambda text: exact.encode(text, add_special_tokens=False).ids
+        return Tokenizer.from_file(tokenizer)
+
+    plain = lambda text: exact().encode(text, add_special_tokens=False).ids
     if ranks is None:
         return plain
     import base64
@@ -72,7 +76,8 @@ def encoder(tokenizer: str, ranks: str | None):
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    apart = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(tokenizer, encoding="utf-8") as f:
+        apart = [t["content"] for t in json.load(f)["added_tokens"]]
     return lambda text: plain(text) if any(x in text for x in apart) else fast.encode_ordinary(text)
 
 
@@ -124,25 +129,25 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int
     groups = parts(rest.count(), group)
     dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_copy"), F.lit(groups)).cast("int"))
 
+    def spelt(rows: pa.Table) -> pa.Table:
+        if not with_ids:
+            return rows.drop_columns("_copy")
+        ids = pa.chunked_array([pa.array([unsqueezed(x) for x in c.to_pylist()], pa.list_(pa.int32())) for c in rows["_ids"].chunks], pa.list_(pa.int32()))
+        return rows.drop_columns(["_copy", "_ids"]).append_column("ids", ids)
+
     def pack_group(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("_copy", "ascending")])
         bins, offsets = first_fit_decreasing(table["length"].to_numpy(), length)
         first = table["_group"][0].as_py() << 32
-        return table.drop_columns("_group").append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
-
-    placed = dealt.groupBy("_group").applyInArrow(pack_group, T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
-    alone = full.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    out = placed.unionByName(alone).drop("_copy")
-    if not with_ids:
-        return out
+        return spelt(table.drop_columns("_group").append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets)))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = pa.array([unsqueezed(x) for x in part["_ids"].to_pylist()], pa.list_(pa.int32()))
-                place = part.schema.get_field_index("_ids")
-                yield part.set_column(place, "ids", ids)
+                yield from spelt(pa.Table.from_batches([batch.slice(at, 256)])).to_batches()
 
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "_ids" else f for f in out.schema.fields]
-    return out.mapInArrow(spell, T.StructType(fields))
+    fields = [*from_arrow_schema(PIECES).fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    result = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else fields)
+    alone = full.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    alone = alone.mapInArrow(spell, result) if with_ids else alone.drop("_copy")
+    return dealt.groupBy("_group").applyInArrow(pack_group, result).unionByName(alone)
