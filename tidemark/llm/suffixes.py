@@ -20,7 +20,9 @@ LENGTH, GRAM = 200, 32
 #: Positions of one piece of a text fit in this many bits below a 43-bit hash.
 POSITION_BITS = 21
 #: Suffixes that one sort holds, about, and different contents in a block; a key with more is dealt to several blocks.
-SORT_STARTS, BLOCK_ROWS = 1 << 16, 600
+SORT_STARTS, BLOCK_ROWS = 1 << 16, 3000
+#: Suffixes laid out at once in a sort.
+STEP = 1 << 14
 U = np.uint64
 
 
@@ -77,16 +79,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes of data at starts by their first LENGTH bytes, equal ones as given, and how many bytes each has in
     common with the one before it in that order (LENGTH at most; 0 for the first)."""
-    own = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts]
-    order = np.argsort(np.ascontiguousarray(own).view(f"S{LENGTH}").ravel(), kind="stable")
-    prefixes = np.zeros(len(order), "int64")
-    for at in range(1, len(order), 1 << 15):
-        upto = min(len(order), at + (1 << 15))
-        differ = own[order[at:upto]] != own[order[at - 1 : upto - 1]]
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    order, prefixes = np.argsort(first_bytes(data)[starts], kind="stable"), np.zeros(len(starts), "int64")
+    firsts = first_bytes(data)[starts[order]]
+    ends = np.flatnonzero(np.append(firsts[1:] != firsts[:-1], True)) + 1 if len(starts) else np.empty(0, "int64")
+    at = 0
+    while at < len(order):  # whole groups of equal first bytes at a time, so that few suffixes are laid out at once
+        upto = int(ends[max(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + STEP, "right") - 1)])
+        own = windows[starts[order[at:upto]]]
+        inner = np.argsort(own.view(f"S{LENGTH}").ravel(), kind="stable")
+        order[at:upto], own = order[at:upto][inner], own[inner]
+        before = windows[starts[order[at - 1]]][None] if at else ~own[:1]
+        differ = own != np.concatenate([before, own[:-1]])
         prefixes[at:upto] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+        at = upto
     return order, prefixes
 
 
+def first_bytes(data: np.ndarray) -> np.ndarray:
+    """The first eight bytes of all suffixes that have as many, as numbers in their order."""
+    out = np.zeros(len(data) - 7, "uint64")
+    for i in range(8):
+        out = out << U(8) | data[i : len(data) - 7 + i]
+    return out
+
+
 def _to_smaller(place: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
     """For each entry in suffix order, how many bytes it has in common with the nearest entry before it of a smaller place (0 if there
     is none). Entries that are not smaller are skipped together with all that these have skipped, so few rounds are needed."""
