@@ -135,13 +135,16 @@ def factor_flags(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return elsewhere, previous
 
 
-FOUND = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.int64()), ("bytes", pa.binary())])
+MEMBER = pa.struct([("doc", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
+FOUND = pa.schema([("doc", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.int64()), ("members", pa.list_(MEMBER)), ("bytes", pa.binary())])
+#: Strings that one row takes to the second sort.
+PACKET = 1000
 
 
 def _found(rows: list[dict], first_stays: bool, go_on: bool) -> pa.RecordBatch:
     """Ranges of starts that repeat, for runs of whole keys, whose suffixes are sorted together; a run that comes twice, from a repeated
-    row, counts once. go_on: and of blocks of a key, each string that is the first of its kind there, with its bytes and a
-    key that equal strings share."""
+    row, counts once. go_on: and of blocks of an anchor, the strings that are the first of their kind there, in packets of those that
+    have a key in common; equal strings of an anchor have equal keys, and an anchor has as many keys as blocks."""
     rows = list({(r["doc"], r["pos"]): r for r in rows}.values())
     rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc"], r["pos"]))
     n = np.array([r["n"] for r in rows])
@@ -151,32 +154,45 @@ def _found(rows: list[dict], first_stays: bool, go_on: bool) -> pa.RecordBatch:
     starts = np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inner
     elsewhere, previous = factor_flags(data, starts)
     doc, low = (np.array([r[k] for r in rows], "int64")[own] + x for k, x in (("doc", 0), ("pos", inner)))
-    ids = pa.array([r["doc_id"] for r in rows], pa.int64())
     hit = np.flatnonzero(previous if first_stays else elsewhere)
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)
     first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
-    none = pa.nulls(len(first), pa.int64())
-    out = [pa.RecordBatch.from_arrays([pa.array(doc[first]), none, pa.array(low[first]), pa.array(low[last] + 1), none, pa.nulls(len(first), pa.binary())], schema=FOUND)]
-    if go_on:
-        left = np.flatnonzero(~previous & np.array([r["blocks"] > 1 for r in rows])[own])
-        keys = pa.array(span_hashes(prefix_sums(data), starts[left], starts[left] + LENGTH).view("int64"))
-        texts = pa.array([data[i : i + LENGTH].tobytes() for i in starts[left]], pa.binary())
-        out.append(pa.RecordBatch.from_arrays([pa.array(doc[left]), ids.take(pa.array(own[left])), pa.array(low[left]), pa.nulls(len(left), pa.int64()), keys, texts], schema=FOUND))
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
+    out = [(d, a, b, None, None, None) for d, a, b in zip(doc[first].tolist(), low[first].tolist(), (low[last] + 1).tolist(), strict=True)]
+    blocks = np.array([r["blocks"] for r in rows], "uint64")[own] if go_on else None
+    left = np.flatnonzero(~previous & (blocks > 1)) if go_on else []
+    if len(left):
+        parts = span_hashes(prefix_sums(data), starts[left], starts[left] + LENGTH) % blocks[left]
+        keys = mix(np.array([r["anchor"] for r in rows], "int64").view("uint64")[own[left]] + parts).view("int64")
+        left, keys = left[order := np.argsort(keys, kind="stable")], keys[order]
+        edges = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1)).tolist() + [len(keys)]
+        for at, end in zip(edges, edges[1:], strict=False):
+            for i in range(at, end, PACKET):
+                some = left[i : min(end, i + PACKET)]
+                members = [{"doc": d, "doc_id": rows[r]["doc_id"], "pos": p} for d, r, p in zip(doc[some].tolist(), own[some].tolist(), low[some].tolist(), strict=True)]
+                out.append((None, None, None, int(keys[at]), members, b"".join(data[k : k + LENGTH].tobytes() for k in starts[some])))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(FOUND.types)], schema=FOUND)
+
+
+def _unpack(r: dict) -> list[dict]:
+    """The strings of a packet as runs of one start; other rows as they are."""
+    if "members" not in r:
+        return [r]
+    return [m | {"key": r["key"], "n": 1, "bytes": r["bytes"][i * LENGTH : (i + 1) * LENGTH]} for i, m in enumerate(r["members"])]
 
 
 def _sorter(keys: tuple[str, ...], first_stays: bool, go_on: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                for r in batch.slice(at, 1024).to_pylist():
+            for at in range(0, batch.num_rows, 64):
+                for r in batch.slice(at, 64).to_pylist():
                     if held and size > SORT_STARTS and any(held[-1][k] != r[k] for k in keys):
                         yield _found(held, first_stays, go_on)
                         held, size = [], 0
-                    held.append(r)
-                    size += r["n"]
+                    own = _unpack(r)
+                    held += own
+                    size += sum(x["n"] for x in own)
         if held:
             yield _found(held, first_stays, go_on)
 
@@ -229,8 +245,8 @@ def repeat_ranges(docs: DataFrame, keep: Written, first_stays: bool) -> DataFram
     bits together, repeat each other, and one of each content goes on if the anchor has several. The suffixes of an anchor's contents
     are sorted, a few anchors at a time, and those that have LENGTH bytes in common with another, or with an earlier one by the
     longest-previous-factor array, are found. An anchor with more than BLOCK_ROWS contents is dealt to blocks by content, each sorted as
-    well; the first strings of each kind in a block then go by a hash of their bytes to a second sort, which no single
-    anchor can fill and in which a string comes once a block at most."""
+    well; the first strings of each kind in a block then go by a hash of their bytes to a second sort, in as many parts
+    as there are blocks, where a string comes once a block at most."""
     own = docs.select(doc_key().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = keep(own.mapInArrow(_runs, from_arrow_schema(RUNS)), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("content") != F.max("content")).alias("mixed")).where("k > 1").select("anchor", "mixed")
@@ -252,8 +268,8 @@ def repeat_ranges(docs: DataFrame, keep: Written, first_stays: bool) -> DataFram
     cuts = packed_texts(own, ("doc_id",)).join(wanted, "doc").select("doc", "doc_id", "packed", "wanted").mapInArrow(_cut, from_arrow_schema(CUTS))
     blocks = cuts.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
     found = keep(blocks.mapInArrow(_sorter(("anchor", "block"), first_stays, True), from_arrow_schema(FOUND)), "found")
-    again = found.where("key IS NOT NULL").select("doc", "doc_id", F.col("low").alias("pos"), F.lit(1).alias("n"), "key", "bytes")
-    again = again.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(("key",), first_stays, False), from_arrow_schema(FOUND))
+    again = found.where("key IS NOT NULL").select("key", "members", "bytes").repartition("key").sortWithinPartitions("key")
+    again = again.mapInArrow(_sorter(("key",), first_stays, False), from_arrow_schema(FOUND))
     out = copies
     for x in (found.where("key IS NULL"), keep(again, "again")):
         out = out.unionByName(x.select("doc", "low", "high"))
