@@ -163,3 +163,25 @@ def test_transform(spark):
     bad = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [None])], "series_id string, t long, x array<double>")
     with pytest.raises(Exception, match="missing values"):
         search.PeltDetector().transform(bad).collect()
+
+
+def test_fit_predict_and_reset():
+    x = np.concatenate([np.zeros(60), np.ones(60)])[:, None] + np.random.default_rng(0).normal(0, 0.05, (120, 1))
+    detector = search.BinSegDetector(n_cps=1)
+    assert not detector.is_fitted
+    with pytest.raises(ValueError):
+        detector.predict(x)
+    assert detector.fit(x, np.repeat([0, 1], 60)).is_fitted and detector.get_fitted_params() == {"n_points": 120, "n_channels": 1}
+    assert detector.predict(x).tolist() == detector.fit_predict(x).tolist() == [60]
+    with pytest.raises(ValueError):
+        detector.predict(np.hstack([x, x]))
+    with pytest.raises(ValueError):
+        detector.fit(x, [1, 2])
+    assert not detector.reset().is_fitted and detector.clone().get_params() == detector.get_params()
+
+
+def test_random_states_differ_between_series():
+    one = states.RandomDetector(random_state=1)
+    x = np.zeros((200, 1))
+    a, b = (one.for_series(k).fit_predict(x).tolist() for k in "ab")
+    assert a != b and a == one.for_series("a").fit_predict(x).tolist()

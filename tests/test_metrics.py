@@ -101,3 +101,11 @@ def test_state_matching(spark):
     noisy[22:28] = 9
     assert M.state_matching(TRUE, noisy)[1][0]["type"] == "transition"
     assert scores(M.state_matching_score(labels(spark, (TRUE, PRED))))["s0"] == pytest.approx(0.846)
+
+
+def test_state_matching_looks_for_the_next_boundary_after_a_block():
+    true, pred = [0] * 10 + [1] * 10, [0] * 8 + [2] * 3 + [1] * 9
+    score, errors = M.state_matching(np.array(true), np.array(pred))
+    assert errors[0]["penalty"] == pytest.approx(M.ERROR_WEIGHTS["transition"] * 3 * 0.8)
+    assert score == pytest.approx(1 - (3 + errors[0]["penalty"]) / 20)
+    assert M.state_matching(np.array(true), np.array(pred), {"delay": 0.1})[1][0]["penalty"] == pytest.approx(3 * 0.8)

@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ MAX_PAIRS_POINTS = 5000
 REGISTRY: dict[str, type[Detector]] = {}
 
 
+class NotFittedError(ValueError):
+    """predict() came before fit()."""
+
+
 @dataclass
 class Detector:
     """Parameters are fields; `kernel(x)` gets a series as an (n, channels) array and returns change points or labels.
@@ -56,8 +61,11 @@ class Detector:
     def tags(cls) -> dict[str, Any]:
         return {"returns_dense": not cls.dense, "multivariate": cls.multivariate, "name": cls.__name__}
 
-    def fit_predict(self, x) -> np.ndarray:
-        """The kernel on one series in memory, with the input checks that transform() makes."""
+    def for_series(self, series_id: str | None) -> Detector:
+        """The detector for one of many series; those that draw numbers draw others for each."""
+        return self
+
+    def _checked(self, x) -> np.ndarray:
         x = np.asarray(x, float)
         x = x[:, None] if x.ndim == 1 else x
         if x.ndim != 2:
@@ -68,6 +76,40 @@ class Detector:
             raise ValueError(f"{type(self).__name__} takes one channel")
         if self.max_points and len(x) > self.max_points:
             raise ValueError(f"{type(self).__name__} takes at most {self.max_points} points a series")
+        return x
+
+    def fit(self, x, y=None) -> Detector:
+        """Takes a series' shape, and labels y of its points if there are any, as known; predict() then wants the same channels."""
+        x = self._checked(x)
+        if y is not None and np.shape(y) != (len(x),):
+            raise ValueError("labels are one for each point")
+        self._fitted = {"n_points": len(x), "n_channels": x.shape[1]}
+        return self
+
+    @property
+    def is_fitted(self) -> bool:
+        return getattr(self, "_fitted", None) is not None
+
+    def reset(self) -> Detector:
+        """Forgets what fit() took; parameters stay."""
+        self._fitted = None
+        return self
+
+    def get_fitted_params(self) -> dict[str, Any]:
+        if not self.is_fitted:
+            raise NotFittedError(f"{type(self).__name__} is not fitted")
+        return dict(self._fitted)
+
+    def predict(self, x) -> np.ndarray:
+        if self._checked(x).shape[1] != self.get_fitted_params()["n_channels"]:
+            raise ValueError("the series has other channels than that of fit()")
+        return self._found(self._checked(x))
+
+    def fit_predict(self, x, y=None) -> np.ndarray:
+        """The kernel on one series in memory, with the input checks that transform() makes."""
+        return self.fit(x, y).predict(x)
+
+    def _found(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.empty(0, int)
         out = self.kernel(x)
@@ -85,10 +127,11 @@ class Detector:
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by("t")
             detector = this.replace(**{c: table[c][0].as_py() for c in own if table[c][0].as_py() is not None}) if own else this
-            rows_ = table["x"].to_pylist()
-            if any(r is None or None in r for r in rows_) or len({len(r) for r in rows_}) > 1:
+            points = table["x"].combine_chunks()
+            sizes, values = pc.unique(pc.list_value_length(points)), points.flatten()
+            if points.null_count or values.null_count or len(sizes) > 1:
                 raise ValueError(f"series {table['series_id'][0].as_py()!r} has missing values")
-            out = detector.fit_predict(np.array(rows_, float))
+            out = detector.for_series(table["series_id"][0].as_py()).fit_predict(values.to_numpy().reshape(len(points), -1))
             ids = pa.array([table["series_id"][0].as_py()] * len(out), pa.string())
             if dense:
                 return pa.table({"series_id": ids, "t": table["t"].combine_chunks(), "state": pa.array(out, pa.int32())})

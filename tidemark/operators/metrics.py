@@ -112,8 +112,8 @@ def mapped(true: np.ndarray, pred: np.ndarray) -> np.ndarray:
 
 
 def state_matching(true: np.ndarray, pred: np.ndarray, weights: dict[str, float] | None = None) -> tuple[float, list[dict]]:
-    """Score and errors: runs of one wrong label, each costing its length and a penalty by its kind."""
-    true, n, weights = np.asarray(true), len(true), weights or ERROR_WEIGHTS
+    """Score and errors: runs of one wrong label, each costing its length and a penalty by its kind; kinds without a weight weigh 1."""
+    true, n, weights = np.asarray(true), len(true), ERROR_WEIGHTS if weights is None else weights
     if not n:
         return 1.0, []
     said = mapped(true, np.asarray(pred))
@@ -129,13 +129,13 @@ def state_matching(true: np.ndarray, pred: np.ndarray, weights: dict[str, float]
         size, runs = j - i + 1, 1 + int((true[i + 1 : j + 1] != true[i:j]).sum())
         beside = [k for k in (i - 1, j + 1) if 0 <= k < n and said[k] == true[k] == said[i]]
         kind = "missing" if runs > 2 else "transition" if runs == 2 else "delay" if beside else "isolation"
-        w = weights[kind]
+        w = weights.get(kind, 1.0)
         if kind == "delay":
             penalty = w * size
         elif kind == "missing":
             penalty = size * w * (1 + 3 * (w - 1) / runs)
         else:
-            before, after = i - edges[edges <= i].max(), edges[edges >= j].min() - j
+            before, after = i - edges[edges <= i].max(), edges[edges > j].min() - j
             penalty = size * w * 2 * min(before, after) / n
         errors.append({"type": kind, "start": i, "end": j, "size": size, "penalty": float(penalty)})
         i = j + 1

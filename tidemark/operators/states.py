@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,6 +66,11 @@ class RandomDetector(Detector):
     random_state: int | None = None
     PARAMS = (integer("n_change_points", 0, nullable=True), integer("n_states", 1, nullable=True))
 
+    def for_series(self, series_id):
+        if self.random_state is None:
+            return self
+        return self.replace(random_state=zlib.crc32(f"{self.random_state}/{series_id}".encode()))
+
     def kernel(self, x):
         rng, n = np.random.default_rng(self.random_state), len(x)
         count = self.n_change_points if self.n_change_points is not None else int(rng.integers(3, 15))

@@ -83,7 +83,7 @@ def _marked(metric: Callable[[DataFrame], DataFrame], statement: str) -> Callabl
 
 #: Detectors on hourly event values (one channel a type) or monthly quantities (three channels).
 HOURLY = {
-    "pelt_l2": search.PeltDetector(penalty=10.0),
+    "pelt_l2": search.PeltDetector(penalty=4.0),
     "bottomup_k3": search.BottomUpDetector(n_cps=3),
     "dynp_kernel_k2": search.DynpDetector(n_cps=2, jump=10),
     "kcpd_rbf": search.KCPDDetector(n_cps=2, jump=10),

@@ -102,9 +102,10 @@ SELECT series_id, cp, gain FROM r WHERE k <= 3"""
 def split_round(min_size: int, jump: int) -> str:
     """Of all open segments of a series the split that gains most; of equals the first segment and its last point."""
     return f"""
-y AS (SELECT z.series_id, z.s, z.e, b.t AS b, (r.s2 - l.s2) - (r.s1 - l.s1) * (r.s1 - l.s1) / (z.e - z.s) - ((b.s2 - l.s2) - (b.s1 - l.s1) * (b.s1 - l.s1) / (b.t - z.s)) - ((r.s2 - b.s2) - (r.s1 - b.s1) * (r.s1 - b.s1) / (z.e - b.t)) AS gain
-      FROM {{open}} z JOIN {{sums}} l ON l.series_id = z.series_id AND l.t = z.s JOIN {{sums}} r ON r.series_id = z.series_id AND r.t = z.e
-      JOIN {{sums}} b ON b.series_id = z.series_id AND b.t >= z.s + {min_size} AND b.t <= z.e - {min_size} AND (b.t - z.s) % {jump} = 0),
+u AS (SELECT z.series_id, z.s, z.e, l.s1 AS l1, l.s2 AS l2, r.s1 AS r1, r.s2 AS r2
+      FROM {{open}} z JOIN {{sums}} l ON l.series_id = z.series_id AND l.t = z.s JOIN {{sums}} r ON r.series_id = z.series_id AND r.t = z.e),
+y AS (SELECT u.series_id, u.s, u.e, b.t AS b, (r2 - l2) - (r1 - l1) * (r1 - l1) / (u.e - u.s) - ((b.s2 - l2) - (b.s1 - l1) * (b.s1 - l1) / (b.t - u.s)) - ((r2 - b.s2) - (r1 - b.s1) * (r1 - b.s1) / (u.e - b.t)) AS gain
+      FROM u JOIN {{sums}} b ON b.series_id = u.series_id AND b.t >= u.s + {min_size} AND b.t <= u.e - {min_size} AND (b.t - u.s) % {jump} = 0),
 w AS (SELECT series_id, s, e, b, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY gain DESC, s, b DESC) AS k FROM y)
 SELECT series_id, s, e, b FROM w WHERE k = 1"""
 
@@ -117,11 +118,11 @@ SELECT series_id, s, e, k FROM n"""
 
 
 def binseg(k: int, min_size: int = 2, jump: int = 5) -> str:
-    """The rounds in one text, for engines that keep the tables of a WITH."""
-    text = PREFIX + "z0 AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS s, CAST(n AS BIGINT) AS e, CAST(0 AS BIGINT) AS k FROM q),\n"
+    """The rounds in one text, for engines that keep the tables of a WITH that say so."""
+    text = PREFIX.replace("f AS (", "f AS MATERIALIZED (") + "z0 AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS s, CAST(n AS BIGINT) AS e, CAST(0 AS BIGINT) AS k FROM q),\n"
     for i in range(k):
-        names = lambda t: t.replace("{open}", f"z{i}").replace("{sums}", "f").replace("{best}", f"x{i}")  # noqa: B023, E731
-        text += f"x{i} AS (WITH {names(split_round(min_size, jump)).strip()}),\nz{i + 1} AS (WITH {names(apply_round(i + 1)).strip()}){',' if i < k - 1 else ''}\n"
+        names = lambda t: t.replace("{open}", f"z{i}").replace("{sums}", "f").replace("{best}", f"x{i}").replace("u AS (", "u AS MATERIALIZED (")  # noqa: B023, E731
+        text += f"x{i} AS MATERIALIZED (WITH {names(split_round(min_size, jump)).strip()}),\nz{i + 1} AS MATERIALIZED (WITH {names(apply_round(i + 1)).strip()}){',' if i < k - 1 else ''}\n"
     return text + f"SELECT series_id, k, s AS cp FROM z{k} WHERE s > 0"
 
 
