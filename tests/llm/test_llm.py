@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -465,6 +467,41 @@ def test_repeats_of_long_texts_and_repeated_rows(spark, monkeypatch):
     assert {r.text for r in suffixes.without_repeats(again).collect()} == {rows[-1][1]}
 
 
+def test_parts_of_the_second_sort_are_bounded(spark, monkeypatch):
+    """A passage in many texts: the second sort gets the strings around it in parts of SORT_STARTS, however many a block has."""
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(45)
+    rows = [(i, text(60) + passage + text(60)) for i in range(160)] + [(500 + i, f"{i} " + "ab" * 300) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(suffixes, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(suffixes, "SORT_STARTS", 1000)
+    keep = Written(spark)
+    suffixes.repeat_ranges(docs, keep, False)
+    found = spark.read.parquet(next(path for name, path, _ in keep.tables if name == "found")).where("key IS NOT NULL")
+    sizes = [r.n for r in found.groupBy("key").agg(F.sum(F.size("members")).alias("n")).collect()]
+    assert sum(sizes) > 5000 and max(sizes) <= 1500
+    want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([r[1].encode() for r in rows]), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(docs).collect()) == want
+
+
+def test_second_sort_holds_few_times_its_strings():
+    """20,000 strings of one key, half of them twice, in packets: the sort takes a few times their bytes at its peak."""
+    rng = np.random.default_rng(16)
+    strings = rng.integers(97, 101, (10_000, 200), dtype="uint8")
+    strings = np.concatenate([strings, strings])
+    members = [[{"doc": i, "doc_id": None if i % 7 == 0 else i, "pos": 3} for i in range(at, at + 1000)] for at in range(0, 20_000, 1000)]
+    packets = [strings[at : at + 1000].tobytes() for at in range(0, 20_000, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 20), pa.array(members, pa.list_(suffixes.MEMBER)), pa.array(packets)], names=["key", "members", "bytes"])
+    del members, packets
+    tracemalloc.start()
+    out = [r for b in suffixes._sorter(("key",), False, False)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(r["doc"] for r in out) == list(range(20_000)) and all((r["low"], r["high"]) == (3, 4) for r in out)
+    assert peak < 10 * strings.nbytes
+
+
 @pytest.mark.parametrize("block_rows", [3000, 2])
 def test_without_repeats_keeps_the_first(spark, rows, block_rows, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK_ROWS", block_rows)

@@ -80,8 +80,9 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     """The order of the suffixes of data at starts by their first LENGTH bytes, equal ones as given, and how many bytes each has in
     common with the one before it in that order (LENGTH at most; 0 for the first)."""
     windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    order, prefixes = np.argsort(first_bytes(data)[starts], kind="stable"), np.zeros(len(starts), "int64")
-    firsts = first_bytes(data)[starts[order]]
+    firsts = first_bytes(data, starts)
+    order, prefixes = np.argsort(firsts, kind="stable"), np.zeros(len(starts), "int64")
+    firsts = firsts[order]
     ends = np.flatnonzero(np.append(firsts[1:] != firsts[:-1], True)) + 1 if len(starts) else np.empty(0, "int64")
     at = 0
     while at < len(order):  # whole groups of equal first bytes at a time, so that few suffixes are laid out at once
@@ -96,12 +97,9 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return order, prefixes
 
 
-def first_bytes(data: np.ndarray) -> np.ndarray:
-    """The first eight bytes of all suffixes that have as many, as numbers in their order."""
-    out = np.zeros(len(data) - 7, "uint64")
-    for i in range(8):
-        out = out << U(8) | data[i : len(data) - 7 + i]
-    return out
+def first_bytes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The first eight bytes of the suffixes at starts, as numbers in their order."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[starts].view(">u8").ravel().astype("uint64")
 
 
 def _to_smaller(place: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
@@ -141,65 +139,89 @@ FOUND = pa.schema([("doc", pa.int64()), ("low", pa.int64()), ("high", pa.int64()
 PACKET = 1000
 
 
-def _found(rows: list[dict], first_stays: bool, go_on: bool) -> pa.RecordBatch:
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """The strings of a column, joined."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], "int64")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", "uint8")[ends[0] : ends[-1]]
+
+
+def _strings(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The column of strings that _bytes_of() joins, by where each ends, with a 0 before."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("int32")), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _found(rows: pa.Table, first_stays: bool, go_on: bool) -> Iterator[pa.RecordBatch]:
     """Ranges of starts that repeat, for runs of whole keys, whose suffixes are sorted together; a run that comes twice, from a repeated
     row, counts once. go_on: and of blocks of an anchor, the strings that are the first of their kind there, in packets of those that
-    have a key in common; equal strings of an anchor have equal keys, and an anchor has as many keys as blocks."""
-    rows = list({(r["doc"], r["pos"]): r for r in rows}.values())
-    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc"], r["pos"]))
-    n = np.array([r["n"] for r in rows])
-    data = np.frombuffer(b"".join(r["bytes"] for r in rows), "uint8")
-    own = np.repeat(np.arange(len(rows)), n)
+    have a key in common; equal strings of an anchor have equal keys, and an anchor has as many keys as parts. All is held in
+    columns: an object for each string would take several times the string."""
+    doc, pos, ids = rows["doc"].to_numpy(), rows["pos"].to_numpy(), rows["doc_id"].combine_chunks()
+    order = np.lexsort((pos, doc, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)))
+    again = np.append(False, (np.diff(doc[order]) == 0) & (np.diff(pos[order]) == 0))
+    rows = rows.take(pa.array(order[~again])).combine_chunks()
+    n, data, ids = rows["n"].to_numpy().astype("int64"), _bytes_of(rows["bytes"].combine_chunks()), rows["doc_id"].combine_chunks()
+    own = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
     starts = np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inner
     elsewhere, previous = factor_flags(data, starts)
-    doc, low = (np.array([r[k] for r in rows], "int64")[own] + x for k, x in (("doc", 0), ("pos", inner)))
+    doc, low = rows["doc"].to_numpy()[own], rows["pos"].to_numpy()[own] + inner
     hit = np.flatnonzero(previous if first_stays else elsewhere)
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)
     first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
-    out = [(d, a, b, None, None, None) for d, a, b in zip(doc[first].tolist(), low[first].tolist(), (low[last] + 1).tolist(), strict=True)]
-    blocks = np.array([r["blocks"] for r in rows], "uint64")[own] if go_on else None
-    left = np.flatnonzero(~previous & (blocks > 1)) if go_on else []
+    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(low[first]), pa.array(low[last] + 1), *(pa.nulls(len(first), t) for t in FOUND.types[3:])], schema=FOUND)
+    parts = rows["parts"].to_numpy().astype("uint64")[own] if go_on else None
+    left = np.flatnonzero(~previous & (parts > 0)) if go_on else []
     if len(left):
-        parts = span_hashes(prefix_sums(data), starts[left], starts[left] + LENGTH) % blocks[left]
-        keys = mix(np.array([r["anchor"] for r in rows], "int64").view("uint64")[own[left]] + parts).view("int64")
+        which = span_hashes(prefix_sums(data), starts[left], starts[left] + LENGTH) % parts[left]
+        keys = mix(rows["anchor"].to_numpy().view("uint64")[own[left]] + which).view("int64")
         left, keys = left[order := np.argsort(keys, kind="stable")], keys[order]
         edges = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1)).tolist() + [len(keys)]
-        for at, end in zip(edges, edges[1:], strict=False):
-            for i in range(at, end, PACKET):
-                some = left[i : min(end, i + PACKET)]
-                members = [{"doc": d, "doc_id": rows[r]["doc_id"], "pos": p} for d, r, p in zip(doc[some].tolist(), own[some].tolist(), low[some].tolist(), strict=True)]
-                out.append((None, None, None, int(keys[at]), members, b"".join(data[k : k + LENGTH].tobytes() for k in starts[some])))
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(FOUND.types)], schema=FOUND)
-
-
-def _unpack(r: dict) -> list[dict]:
-    """The strings of a packet as runs of one start; other rows as they are."""
-    if "members" not in r:
-        return [r]
-    return [m | {"key": r["key"], "n": 1, "bytes": r["bytes"][i * LENGTH : (i + 1) * LENGTH]} for i, m in enumerate(r["members"])]
+        cuts = np.array([i for at, end in zip(edges, edges[1:], strict=False) for i in range(at, end, PACKET)] + [len(keys)])
+        windows, at = np.lib.stride_tricks.sliding_window_view(data, LENGTH), 0
+        while at < len(cuts) - 1:  # a few packets at a time, at least one
+            upto = max(at + 1, int(np.searchsorted(cuts, cuts[at] + STEP, "right")) - 1)
+            some, ends = left[cuts[at] : cuts[upto]], cuts[at : upto + 1] - cuts[at]
+            members = pa.StructArray.from_arrays([pa.array(doc[some]), ids.take(pa.array(own[some])), pa.array(low[some])], fields=list(MEMBER))
+            columns = [pa.array(keys[cuts[at:upto]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members), _strings(windows[starts[some]], ends * LENGTH)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(upto - at, t) for t in FOUND.types[:3]), *columns], schema=FOUND)
+            at = upto
+
+
+def _unpack(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The strings of packets as runs of one start, copied out of the batch; other rows as they are."""
+    if "members" not in rows.schema.names:
+        return rows
+    members, each = rows["members"].flatten(), rows["members"].value_lengths().to_numpy()
+    doc, doc_id, pos = (pa.concat_arrays([x, x[:0]]) for x in members.flatten())
+    data = _bytes_of(rows["bytes"]).copy()
+    columns = {"key": pa.array(np.repeat(rows["key"].to_numpy(), each)), "n": pa.array(np.ones(len(members), "int32")), "bytes": _strings(data, np.arange(len(members) + 1) * LENGTH)}
+    return pa.RecordBatch.from_pydict({"doc": doc, "doc_id": doc_id, "pos": pos} | columns)
 
 
 def _sorter(keys: tuple[str, ...], first_stays: bool, go_on: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                for r in batch.slice(at, 64).to_pylist():
-                    if held and size > SORT_STARTS and any(held[-1][k] != r[k] for k in keys):
-                        yield _found(held, first_stays, go_on)
+                part = _unpack(batch.slice(at, 64))
+                own, n = [part[k].to_numpy() for k in keys], part["n"].to_numpy()
+                edges = [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in own], axis=0)) + 1).tolist(), part.num_rows]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    key = tuple(int(k[a]) for k in own)
+                    if size > SORT_STARTS and key != last:
+                        yield from _found(pa.Table.from_batches(held), first_stays, go_on)
                         held, size = [], 0
-                    own = _unpack(r)
-                    held += own
-                    size += sum(x["n"] for x in own)
+                    held.append(part.slice(a, b - a))
+                    size, last = size + int(n[a:b].sum()), key
         if held:
-            yield _found(held, first_stays, go_on)
+            yield from _found(pa.Table.from_batches(held), first_stays, go_on)
 
     return run
 
 
-CUTS = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("block", pa.int64()), ("blocks", pa.int64()), ("bytes", pa.binary())])
+CUTS = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("block", pa.int64()), ("parts", pa.int64()), ("bytes", pa.binary())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +231,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for r in batch.slice(at, 256).to_pylist():
                 data = unpacked(r["packed"])
-                rows += [(r["doc"], r["doc_id"], w["pos"], w["n"], w["anchor"], w["block"], w["blocks"], data[w["pos"] : w["pos"] + w["n"] + LENGTH - 1]) for w in r["wanted"]]
+                rows += [(r["doc"], r["doc_id"], w["pos"], w["n"], w["anchor"], w["block"], w["parts"], data[w["pos"] : w["pos"] + w["n"] + LENGTH - 1]) for w in r["wanted"]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CUTS.types, strict=True)], schema=CUTS)
 
@@ -245,8 +267,8 @@ def repeat_ranges(docs: DataFrame, keep: Written, first_stays: bool) -> DataFram
     bits together, repeat each other, and one of each content goes on if the anchor has several. The suffixes of an anchor's contents
     are sorted, a few anchors at a time, and those that have LENGTH bytes in common with another, or with an earlier one by the
     longest-previous-factor array, are found. An anchor with more than BLOCK_ROWS contents is dealt to blocks by content, each sorted as
-    well; the first strings of each kind in a block then go by a hash of their bytes to a second sort, in as many parts
-    as there are blocks, where a string comes once a block at most."""
+    well; the first strings of each kind in a block then go by a hash of their bytes to a second sort, in parts of about SORT_STARTS
+    strings at most, where a string comes once a block at most."""
     own = docs.select(doc_key().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = keep(own.mapInArrow(_runs, from_arrow_schema(RUNS)), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("content") != F.max("content")).alias("mixed")).where("k > 1").select("anchor", "mixed")
@@ -262,9 +284,9 @@ def repeat_ranges(docs: DataFrame, keep: Written, first_stays: bool) -> DataFram
     copies = keep(copies.select("doc", F.col("pos").alias("low"), (F.col("pos") + F.col("n")).alias("high")), "copies")
     keep.drop("repeated")
     sorted_ = contents.where("mixed")
-    widths = keep(sorted_.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")), "widths")
-    wanted = sorted_.join(widths, "anchor").withColumn("block", F.pmod(F.xxhash64("content"), "blocks"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "anchor", "block", "blocks")).alias("wanted"))
+    widths = keep(sorted_.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.ceil(F.sum("n") / SORT_STARTS).alias("parts")), "widths")
+    wanted = sorted_.join(widths, "anchor").withColumn("block", F.pmod(F.xxhash64("content"), "blocks")).withColumn("parts", F.expr("IF(blocks > 1, parts, 0)"))
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "anchor", "block", "parts")).alias("wanted"))
     cuts = packed_texts(own, ("doc_id",)).join(wanted, "doc").select("doc", "doc_id", "packed", "wanted").mapInArrow(_cut, from_arrow_schema(CUTS))
     blocks = cuts.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
     found = keep(blocks.mapInArrow(_sorter(("anchor", "block"), first_stays, True), from_arrow_schema(FOUND)), "found")
