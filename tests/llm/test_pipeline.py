@@ -1,5 +1,6 @@
 """Each stage of the pipeline on the smallest tables."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpus_pipeline import STAGES, mixing, near_dedup, packing
+from corpus_pipeline import STAGES, mixing, near_dedup, packing, suffix_dedup
+from tidemark.llm import suffixes
 from tidemark.llm.common import Written
 
 
@@ -66,3 +68,25 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     kept = {r.place for r in out.collect()}
     assert out.count() == len(kept) and len(kept & {1, 2}) == len(kept & {5, 6}) == 1
     assert kept - {1, 2, 5, 6} == {0, 4, 8, 10, 11, 12, 13, 14}
+
+
+def test_suffix_dedup_sorts_in_small_parts(spark, monkeypatch):
+    """A passage in all texts: no worker gets many strings of it at once, and the first copy alone stays."""
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    passage, made = text(45), []
+
+    class Kept(Written):
+        def only(self, *names, since=0):
+            made.append(self)
+
+    monkeypatch.setattr(suffixes, "Written", Kept)
+    monkeypatch.setattr(suffixes, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(suffixes, "SORT_STARTS", 1000)
+    docs = spark.createDataFrame([(i, f"{text(60)} {passage} {text(60)}") for i in range(160)], "doc_id long, text string").repartition(2)
+    kept = {r.doc_id: r.text for r in suffix_dedup(spark, docs, "").collect()}
+    assert len(kept) == 160 and [i for i, t in kept.items() if passage in t] == [0]
+    found = spark.read.parquet(next(path for name, path, _ in made[0].tables if name == "found")).where("key IS NOT NULL")
+    sizes = [r.n for r in found.groupBy("key").agg(F.sum(F.size("members")).alias("n")).collect()]
+    assert sum(sizes) > 5000 and max(sizes) <= 1500
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20

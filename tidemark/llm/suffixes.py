@@ -137,6 +137,8 @@ MEMBER = pa.struct([("doc", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int6
 FOUND = pa.schema([("doc", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.int64()), ("members", pa.list_(MEMBER)), ("bytes", pa.binary())])
 #: Strings that one row takes to the second sort.
 PACKET = 1000
+#: Bytes that Spark hands to a Python worker at once; it holds them outside its heap, and so does the worker.
+BATCH_BYTES = 8 << 20
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
@@ -269,6 +271,7 @@ def repeat_ranges(docs: DataFrame, keep: Written, first_stays: bool) -> DataFram
     longest-previous-factor array, are found. An anchor with more than BLOCK_ROWS contents is dealt to blocks by content, each sorted as
     well; the first strings of each kind in a block then go by a hash of their bytes to a second sort, in parts of about SORT_STARTS
     strings at most, where a string comes once a block at most."""
+    keep.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     own = docs.select(doc_key().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = keep(own.mapInArrow(_runs, from_arrow_schema(RUNS)), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("content") != F.max("content")).alias("mixed")).where("k > 1").select("anchor", "mixed")
