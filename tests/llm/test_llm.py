@@ -209,6 +209,15 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_rules_are_the_contracts(spark):
+    """Each rule's word by the contract's list: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    words = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: word for word, h, p in urls.RULES} == words
+    pages = [(10 * i + j, f"http://{sub}{rule}{rest}", None) for i, rule in enumerate(words) for j, (sub, rest) in enumerate((("", ""), ("a.B.", "1/x?q#f")))]
+    out = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {10 * i + j: (rule, word) for i, (rule, word) in enumerate(words.items()) for j in range(2)}
+
+
 def test_urls_by_links(spark):
     """Hosts without a rule, by whom they link to and who links to them, against dense linear algebra."""
     link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
