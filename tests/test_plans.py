@@ -33,6 +33,20 @@ def test_two_engines(spark, duck, name):
     assert canonical(tuple(r) for r in got.select(*columns).collect()) == canonical(want)
 
 
+def test_amoc_of_values_whose_squares_outgrow_a_bigint(spark, tmp_path):
+    """The sum of squares first (then the other engine has an answer too), then a single square."""
+    for t in ("events", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    days = spark.range(40).selectExpr("'p' AS o_orderpriority", "timestamp_ntz'1995-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS o_orderdate", "id")
+    days.selectExpr("o_orderpriority", "o_orderdate", "2e7 + IF(id < 23, 0, 5e6) + id % 3 AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(Q.ORACLE_SQL["amoc_orders_daily"]).fetchall()
+    assert [tuple(r) for r in Q.QUERIES["amoc_orders_daily"](spark, str(tmp_path)).collect()] == want and want[0][1] == 23
+    days.selectExpr("o_orderpriority", "o_orderdate", "2e8 + IF(id < 23, 0, 5e7) + id % 3 AS o_totalprice").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    assert Q.QUERIES["amoc_orders_daily"](spark, str(tmp_path)).first().cp == 23
+
+
 def test_binseg_statement_is_the_search(spark):
     series = Q.plan(spark, SF, S.EVENTS_HOURLY, {})
     found = Q.QUERIES["binseg_k3"](spark, SF).collect()
