@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import costs as C
 from tidemark.plans import queries as Q
@@ -86,6 +87,20 @@ def test_stream_is_batch(spark, tmp_path, model):
     assert got == [(t, pytest.approx(v)) for t, v in want[: len(got)]] and len(got) >= 10
 
 
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_drained_stays_out_of_the_driver(spark, tmp_path, mode):
+    """What streams give is files in the shared folder; a table in the driver's memory has none."""
+    spark.range(4000).selectExpr("CAST(id % 1000 AS STRING) AS key", "timestamp_seconds(id * 60) AS ts").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in"))
+    windows = {"append": lambda s: online.sessions(s, "key", "ts", "2 hours"), "complete": lambda s: online.tumbling(s, "key", "ts", F.count("*"), "1 day")}
+    got = online.drained(windows[mode](stream), mode)
+    assert got.inputFiles() and all(f.startswith("file:" + spark.conf.get("spark.checkpoint.dir").split("//")[1]) or f.startswith(spark.conf.get("spark.checkpoint.dir")) for f in got.inputFiles())
+    want = windows[mode](spark.read.parquet(str(tmp_path / "in"))).where(F.lit(mode == "complete") | (F.col("end") <= F.timestamp_seconds(F.lit(3999 * 60 - 3600))))
+    assert got.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.dtypes == want.dtypes
+    (tmp_path / "none").mkdir()
+    assert online.drained(windows[mode](spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "none"))), mode).count() == 0
+
+
 def test_adaptive_threshold():
     bar = online.AdaptiveThreshold(0.5, 0.1)
     assert bar.update(0.9) == 1 and bar.bar > 0.5 and bar.update(0.1) == 0

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..llm.common import shared_dir
 from ..operators.scores import Sdar
 
 
@@ -132,14 +133,27 @@ def sessions(stream: DataFrame, key: str, time: str, gap: str, delay: str = "1 h
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives for the input there is now, as a table in memory; for reports and tests."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives for the input there is now, as a Parquet table in the folder that driver and executors share."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+    into = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    last: list[str] = []
+
+    def put(batch: DataFrame, i: int) -> None:
+        """A batch that has the whole result so far."""
+        batch.write.mode("overwrite").parquet(f"{folder}/{i}")
+        last[:] = [f"{folder}/{i}"]
+
+    query = into.format("parquet").option("path", f"{folder}/all").start() if mode == "append" else into.foreachBatch(put).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if mode == "append" and query.lastProgress is not None:
+        last = [f"{folder}/all"]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoint")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
