@@ -1,5 +1,7 @@
 """Statements in two engines, adapters, and streams against the batch."""
 
+import pickle
+
 import duckdb
 import numpy as np
 import pytest
@@ -87,6 +89,23 @@ def test_stream_is_batch(spark, tmp_path, model):
     assert got == [(t, pytest.approx(v)) for t, v in want[: len(got)]] and len(got) >= 10
 
 
+@pytest.mark.parametrize("model, params", [("bocd", {"mu": 5.0, "beta": 2.0, "most": 40}), ("bocd", {"most": 1})])
+def test_many_updates_are_single_ones_bocd(model, params):
+    check_many(model, params)
+
+
+def check_many(model, params):
+    """Values scored some at a time, with the state written in between, as one by one."""
+    rng = np.random.default_rng(3)
+    values = np.round(np.concatenate([rng.gamma(2, 5, 150), rng.gamma(2, 9, 150), np.full(60, 4.0)]), 2)
+    one, many = online.MODELS[model](**params), online.MODELS[model](**params)
+    want, got = [one.update(v) for v in values.tolist()], []
+    for part in np.split(values, [1, 1, 4, 29, 31, 38, 200]):
+        got += many.many(part).tolist()
+        many = pickle.loads(pickle.dumps(many))
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12) and many.update(7.0) == pytest.approx(one.update(7.0))
+
+
 @pytest.mark.parametrize("mode", ["append", "complete"])
 def test_drained_stays_out_of_the_driver(spark, tmp_path, mode):
     """What streams give is files in the shared folder; a table in the driver's memory has none."""

@@ -7,6 +7,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,9 @@ class OnlineChangeFinder:
             out = sum(self.recent[i]) / len(self.recent[i])
         return out
 
+    def many(self, values: np.ndarray) -> np.ndarray:
+        return np.array([self.update(v) for v in values.tolist()], float)
+
 
 @dataclass
 class OnlineBocd:
@@ -77,6 +81,61 @@ class OnlineBocd:
         self.p = p
         return float(p[0])
 
+    def many(self, values: np.ndarray) -> np.ndarray:
+        """update() of each value in turn. What depends on the length of a run alone is made once."""
+        most, out = self.most, np.empty(len(values))
+        k, a = (np.array(list(accumulate([step] * (most - 1), initial=start))) for start, step in ((self.kappa, 1.0), (self.alpha, 0.5)))
+        half = np.vectorize(math.lgamma)
+        gain, k1, ak, pa, a2, ah, kk = half(a + 0.5) - half(a), k + 1, a * k, 2 * math.pi * a, 2 * a, a + 0.5, 2 * (k + 1)
+        p, m, b = (np.empty(most + 1) for _ in range(3))
+        x, y, z = (np.empty(most) for _ in range(3))
+        n, rest = len(self.p), 1 - 1 / self.hazard
+        p[:n], m[:n], b[:n] = self.p, self.m, self.b
+        held = None
+        for i, value in enumerate(values.tolist()):
+            if held != n:
+                held, (gain_, k_, k1_, ak_, pa_, a2_, ah_, kk_, x_, y_, z_) = n, (v[:n] for v in (gain, k, k1, ak, pa, a2, ah, kk, x, y, z))
+                p_, m_, b_, p1, m1, b1 = p[:n], m[:n], b[:n], p[1 : n + 1], m[1 : n + 1], b[1 : n + 1]
+            np.multiply(b_, k1_, out=x_)
+            np.divide(x_, ak_, out=x_)  # the scale
+            np.subtract(value, m_, out=y_)
+            np.multiply(y_, y_, out=y_)
+            np.multiply(a2_, x_, out=z_)
+            np.divide(y_, z_, out=z_)
+            np.log1p(z_, out=z_)
+            np.multiply(ah_, z_, out=z_)
+            np.multiply(pa_, x_, out=x_)
+            np.log(x_, out=x_)
+            np.multiply(x_, 0.5, out=x_)
+            np.subtract(gain_, x_, out=x_)
+            np.subtract(x_, z_, out=x_)
+            np.exp(x_, out=x_)
+            np.multiply(p_, x_, out=x_)  # with the value
+            first = x_.sum() / self.hazard
+            np.multiply(x_, rest, out=p1)
+            p[0] = first
+            total = p[: n + 1].sum()
+            if total > 0:
+                np.divide(p[: n + 1], total, out=p[: n + 1])
+            else:
+                p[: n + 1] = 0.0
+                p[0] = 1.0
+            np.multiply(k_, y_, out=y_)
+            np.divide(y_, kk_, out=y_)
+            np.add(b_, y_, out=b1)
+            b[0] = self.beta
+            np.multiply(k_, m_, out=y_)
+            np.add(y_, value, out=y_)
+            np.divide(y_, k1_, out=m1)
+            m[0] = self.mu
+            n += 1
+            if n > most:
+                p[most - 1] += p[most]
+                n = most
+            out[i] = p[0]
+        self.p, self.m, self.k, self.a, self.b = p[:n].copy(), m[:n].copy(), k[:n], a[:n], b[:n].copy()
+        return out
+
 
 @dataclass
 class AdaptiveThreshold:
@@ -90,7 +149,12 @@ class AdaptiveThreshold:
         self.bar = min(0.999, max(0.0, self.bar + self.rate * (likeness - self.bar) * (1 if same else 0.5)))
         return float(same)
 
+    def many(self, values: np.ndarray) -> np.ndarray:
+        return np.array([self.update(v) for v in values.tolist()], float)
+
 
+#: Rows that a worker scores and hands back at once.
+PIECE = 65536
 MODELS: dict[str, Callable] = {"changefinder": OnlineChangeFinder, "bocd": OnlineBocd, "threshold": AdaptiveThreshold}
 
 
@@ -100,19 +164,21 @@ def scored(stream: DataFrame, key: str, time: str, value: str, model: str, delay
     make = MODELS[model]
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, waiting, last = pickle.loads(state.get[0]) if state.exists else (make(**params), [], -1)
-        for f in frames:
-            waiting += [(int(t), float(v)) for t, v in zip(f["t"], f["value"], strict=True) if int(t) > last]
-        until = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        ready = [w for w in waiting if w[0] <= until]
-        rows = [(group[0], t, v, held.update(v)) for t, v in ready]
-        waiting = waiting[len(ready) :]
-        last = ready[-1][0] if ready else last
-        state.update((pickle.dumps((held, waiting, last)),))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(rows, columns=["series_id", "t", "value", "score"])
+        held, t, v, last = pickle.loads(state.get[0]) if state.exists else (make(**params), np.empty(0, np.int64), np.empty(0), -1)
+        found = [(f["t"].to_numpy(np.int64), f["value"].to_numpy(float)) for f in frames]
+        t, v = np.concatenate([t, *(x for x, _ in found)]), np.concatenate([v, *(y for _, y in found)])
+        t, v = t[t > last], v[t > last]
+        order = np.lexsort((v, t))
+        t, v = t[order], v[order]
+        n = int(np.searchsorted(t, state.getCurrentWatermarkMs() * 1000, side="right"))
+        scores = [held.many(v[i : min(n, i + PIECE)]) for i in range(0, n, PIECE)]
+        last = int(t[n - 1]) if n else last
+        state.update((pickle.dumps((held, t[n:], v[n:], last)),))
+        if n < len(t):
+            state.setTimeoutTimestamp(max(int(t[n]) // 1000, state.getCurrentWatermarkMs()) + 1)
+        for i, score in zip(range(0, n, PIECE), scores, strict=True):
+            j = i + len(score)
+            yield pd.DataFrame({"series_id": [group[0]] * (j - i), "t": t[i:j], "value": v[i:j], "score": score})
 
     rows = stream.select(F.col(key).cast("string").alias("series_id"), F.col(time).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value")).where("value IS NOT NULL AND ts IS NOT NULL")
     rows = rows.withWatermark("ts", delay).withColumn("t", F.unix_micros("ts"))
