@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import costs as C
+from tidemark.operators.scores import Sdar
 from tidemark.plans import queries as Q
 from tidemark.plans import statements as S
 from tidemark.sources import frames
@@ -94,6 +95,16 @@ def test_many_updates_are_single_ones_bocd(model, params):
     check_many(model, params)
 
 
+@pytest.mark.parametrize("params", [{}, {"order": 1, "smooth": 1}, {"order": 3, "smooth": 9}])
+def test_many_updates_are_single_ones_changefinder(params, monkeypatch):
+    """And a block at once: no value but the first few goes through update()."""
+    check_many("changefinder", params)
+    model, values, calls = online.OnlineChangeFinder(**params), np.random.default_rng(4).normal(size=500), []
+    update = Sdar.update
+    monkeypatch.setattr(Sdar, "update", lambda self, value: calls.append(value) or update(self, value))
+    assert len(model.many(values)) == 500 and len(calls) <= model.order
+
+
 def check_many(model, params):
     """Values scored some at a time, with the state written in between, as one by one."""
     rng = np.random.default_rng(3)

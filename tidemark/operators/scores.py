@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 
@@ -140,6 +141,29 @@ class Sdar:
         self.past = [*self.past, value][-self.order :]
         return error if kind == "quadratic" else 0.5 * math.log(2 * math.pi * self.sigma) + error / (2 * self.sigma)
 
+    def many(self, values: np.ndarray, block: int = 16384) -> np.ndarray:
+        """update() of each value in turn: what is learnt runs along the values, and then a block is guessed and scored at once."""
+        k, r = self.order, self.discount
+        first = min(len(values), max(0, k - len(self.past)))
+        out = [np.array([self.update(v) for v in values[:first].tolist()], float)]
+        along = lambda start, steps: np.array(list(accumulate(steps.tolist(), lambda old, step: (1 - r) * old + step, initial=start)))
+        lags, ridge = np.abs(np.arange(k)[:, None] - np.arange(k)[None]), np.eye(k)
+        for at in range(first, len(values), block):
+            x = values[at : at + block]
+            n, line = len(x), np.append(self.past, x)
+            past = np.stack([line[k - j : k - j + n] for j in range(1, k + 1)], 1) if k else np.zeros((n, 0))
+            mean = along(self.mean, r * x)
+            off = r * (x - mean[1:])
+            cov = np.stack([along(float(self.cov[j]), off * ((past[:, j - 1] if j else x) - mean[1:])) for j in range(k + 1)], 1)
+            c = cov[:-1]
+            tables = c[:, lags] + (1e-10 * np.maximum(np.abs(c[:, 0]), 1e-10))[:, None, None] * ridge
+            guess = mean[:-1] + (np.linalg.solve(tables, c[:, 1:, None])[..., 0] * (past - mean[:-1, None])).sum(1)
+            error = (x - guess) ** 2
+            sigma = np.array(list(accumulate((r * error).tolist(), lambda old, step: max((1 - r) * old + step, 1e-10), initial=self.sigma)))
+            self.mean, self.cov, self.sigma, self.past = float(mean[-1]), cov[-1].copy(), float(sigma[-1]), line[len(line) - k :].tolist()
+            out.append(0.5 * np.log(2 * math.pi * sigma[1:]) + error / (2 * sigma[1:]))
+        return np.concatenate(out)
+
 
 def trailing_mean(x: np.ndarray, width: int) -> np.ndarray:
     """Mean of the last `width` values, which counts missing ones before the start as 0."""

@@ -46,7 +46,19 @@ class OnlineChangeFinder:
         return out
 
     def many(self, values: np.ndarray) -> np.ndarray:
-        return np.array([self.update(v) for v in values.tolist()], float)
+        """update() of each value in turn, a stage at a time."""
+        at = 0
+        while at < len(values) and not self.stages:
+            self.update(float(values[at]))
+            at += 1
+        out = values[at:]
+        for i, stage in enumerate(self.stages):
+            line = [*self.recent[i], *stage.many(out).tolist()]
+            start = len(self.recent[i]) + 1
+            spans = (line[max(0, end - self.smooth) : end] for end in range(start, len(line) + 1))
+            out = np.fromiter((sum(s) / len(s) for s in spans), float, len(out))
+            self.recent = tuple(tuple(line[-self.smooth :]) if i == j else r for j, r in enumerate(self.recent))
+        return np.append(np.zeros(at), out)
 
 
 @dataclass
